@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sectorloom.llm.byte_bpe import bpe_decode, bpe_encode
 from sectorloom.llm.common import table
 from sectorloom.llm.jaccard_join import jaccard_components
 
@@ -14,8 +16,15 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), words=5, percent=75)
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = bpe_decode(bpe_encode(table(spark, sf_dir, "documents")))
+    text = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_byte_bpe": op2_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
