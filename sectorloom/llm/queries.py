@@ -12,6 +12,7 @@ from sectorloom.llm.common import table
 from sectorloom.llm.jaccard_join import jaccard_components
 from sectorloom.llm.mixing import mix_sources
 from sectorloom.llm.quality_rules import quality
+from sectorloom.llm.sharding import record_size, shard_documents
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +25,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shard_documents(table(spark, sf_dir, "documents"), shards=40)
+    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).cast("long")
+    return rows.select("doc_id", record_size(F.col("text")).alias("size"), crc.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
@@ -35,6 +42,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_byte_bpe": op2_byte_bpe,
+    "op5_sharding": op5_sharding,
     "op7_mixing": op7_mixing,
     "op9_quality_rules": op9_quality_rules,
 }
