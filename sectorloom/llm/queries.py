@@ -11,6 +11,7 @@ from sectorloom.llm.byte_bpe import bpe_decode, bpe_encode
 from sectorloom.llm.common import table
 from sectorloom.llm.jaccard_join import jaccard_components
 from sectorloom.llm.mixing import mix_sources
+from sectorloom.llm.pii import find_pii
 from sectorloom.llm.quality_rules import quality
 from sectorloom.llm.sharding import record_size, shard_documents
 
@@ -35,6 +36,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "pii.n_email", "pii.n_ip", "pii.n_card", "pii.n_phone", F.sha2("pii.base", 256).alias("base_sha256"), "pii.spans")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
@@ -44,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op5_sharding": op5_sharding,
     "op7_mixing": op7_mixing,
+    "op8_pii": op8_pii,
     "op9_quality_rules": op9_quality_rules,
 }
 
