@@ -2,9 +2,9 @@
 
 Documents with equal shingle sets collapse into a class. Each class sends its smallest shingle hashes
 (the prefix that any partner at the threshold must meet, and a little more) to the shingles' groups.
-Within a group, a star to the first class of each size band is tested; what the stars leave apart is cut
-into size-banded tiles that are compared in blocks by bitmaps, whose bit counts bound the overlap from
-above. What passes is decided on the whole sorted arrays.
+A small group's pairs and, in a larger group, a star to the first class of each size band are tested;
+what that leaves apart in the larger groups is cut into size-banded tiles, compared in blocks by bitmaps
+whose bit counts bound the overlap from above. What passes is decided on the whole sorted arrays.
 
 A group larger than ``HOT`` holds boilerplate. Two classes whose further prefix hashes make up for
 their hot ones meet in another group, so in a hot group only classes short of that are compared with
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from sectorloom.llm.common import Scratch, bounded_batches, mix64, ngram_hashes, shuffle_partitions, string_chunks, text_column, word_hashes
 from sectorloom.llm.components import components
 
+#: Up to so many members, a group's pairs are listed.
+SMALL = 8
 #: Classes in a tile.
 TILE = 512
 #: Above so many classes, a shingle's group is hot.
@@ -87,8 +89,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarr
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Hashed bitmap with 2 to 4 bits for each element; halves fold together for a smaller width."""
-    bits = 1 << max(6, (2 * len(s) - 1).bit_length())
+    """Hashed bitmap with 1 to 2 bits for each element; halves fold together for a smaller width."""
+    bits = 1 << max(6, (len(s) - 1).bit_length())
     flags = np.zeros(bits, np.uint8)
     flags[(mix64(s.view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(flags, bitorder="little").tobytes()
@@ -147,37 +149,68 @@ def _sets(rule: Rule):
     return run
 
 
+MEETS = "token long, a long, b long"
+
+
 def _meets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by token, band, n, rid -> those whose token another row has, with their band's first row."""
-    held: list[np.ndarray] | None = None
-    prior, pivot, band_of = None, 0, None
-    names = ("token", "rid", "n", "band")
-
-    def ready(cols: list[np.ndarray], tail: int | None):
-        """Rows of cols; tail: the token that follows them."""
-        nonlocal prior, pivot, band_of
-        token, rid, n, band = cols
-        same = np.concatenate(([prior is not None and token[0] == prior], token[1:] == token[:-1]))
-        follows = np.concatenate((token[1:] == token[:-1], [tail is not None and token[-1] == tail]))
-        start = ~(same & np.concatenate(([band_of is not None and band[0] == band_of], band[1:] == band[:-1])))
-        at = np.where(start, np.arange(len(token)), -1)
-        at = np.maximum.accumulate(at)
+    """Rows sorted by token, band, n, rid -> a small group's pairs (token null, a, b), a larger group's members (token, a, the first of its band)."""
+
+    def out(token, a, b):
+        return pa.RecordBatch.from_arrays([token, pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["token", "a", "b"])
+
+    def pairs(rid: np.ndarray, first: np.ndarray, size: np.ndarray):
+        for k in range(2, SMALL + 1):
+            at = first[size == k]
+            if len(at):
+                members = rid[at[:, None] + np.arange(k)]
+                i, j = np.triu_indices(k, 1)
+                a, b = members[:, i].ravel(), members[:, j].ravel()
+                yield out(pa.nulls(len(a), pa.int64()), a, b)
+
+    def members(token: np.ndarray, rid: np.ndarray, band: np.ndarray):
+        """Whole groups or the next part of one; ``band`` and ``pivot`` go on from the part before."""
+        nonlocal pivot, of
+        begins = np.concatenate(([of != (token[0], band[0])], (token[1:] != token[:-1]) | (band[1:] != band[:-1])))
+        at = np.maximum.accumulate(np.where(begins, np.arange(len(token)), -1))
         pivots = np.where(at >= 0, rid[np.maximum(at, 0)], pivot)
-        prior, pivot, band_of = token[-1], pivots[-1], band[-1]
-        keep = same | follows
-        if keep.any():
-            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, rid, n, pivots)], names=["token", "rid", "n", "pivot"])
-        return None
+        pivot, of = pivots[-1], (token[-1], band[-1])
+        return out(pa.array(token), rid, pivots)
 
+    large, pivot, of, held = None, 0, None, None
     for batch in batches:
-        if not batch.num_rows:
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        token, rid, band = cols
+        if not len(token):
             continue
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))]
-        if held is not None and (out := ready(held, cols[0][0])) is not None:
-            yield out
-        held = cols
-    if held is not None and (out := ready(held, None)) is not None:
-        yield out
+        first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        if token[0] == large:  # more of a group that is known to be large
+            end = first[1] if len(first) > 1 else len(token)
+            yield members(token[:end], rid[:end], band[:end])
+            token, rid, band = token[end:], rid[end:], band[end:]
+            first = first[1:] - end
+            held = None
+            if not len(token):
+                continue
+        size = np.diff(np.append(first, len(token)))
+        if size[-1] > SMALL:
+            large, held = token[-1], None
+        else:  # the last group may go on in the next batch
+            held = [x[first[-1] :] for x in (token, rid, band)]
+            first, size = first[:-1], size[:-1]
+        yield from pairs(rid, first, size)
+        big = size > SMALL
+        if big.any():
+            at = _runs(first[big], size[big])
+            yield members(token[at], rid[at], band[at])
+    if held is not None:
+        yield from pairs(held[1], np.array([0]), np.array([len(held[1])]))
+
+
+def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(size)
+    return np.arange(ends[-1]) + np.repeat(first - (ends - size), size)
 
 
 def _by_bits(rule: Rule):
@@ -202,45 +235,43 @@ def _by_bits(rule: Rule):
 def _in_tiles(rule: Rule):
     """Rows (token, ta, tb, tile, rep, n, comp, bits) sorted by the first three -> pairs in different components that the bitmaps let pass."""
 
-    def block(rows: dict[str, list]) -> pa.RecordBatch | None:
-        comp = np.array(rows["comp"])
+    def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        rows = pa.Table.from_batches(parts)
+        ta, tb, tile, rep, n, comp = (rows.column(i).to_numpy() for i in range(1, 7))
         if (comp == comp[0]).all():
             return None
-        n, rep, tile = np.array(rows["n"]), np.array(rows["rep"]), np.array(rows["tile"])
-        ta, tb = rows["ta"][0], rows["tb"][0]
-        width = min(map(len, rows["bits"]))
-        bits = np.stack([folded(b, width) for b in rows["bits"]])
-        left = np.flatnonzero(tile == ta)
-        right = np.flatnonzero(tile == tb)
+        bits = rows.column(7).to_pylist()
+        width = min(map(len, bits))
+        bits = np.stack([folded(b, width) for b in bits])
+        left, right = np.flatnonzero(tile == ta[0]), np.flatnonzero(tile == tb[0])
         out: tuple[list, list] = ([], [])
         for k, i in enumerate(left):
-            j = right[k + 1 :] if ta == tb else right
+            j = right[k + 1 :] if ta[0] == tb[0] else right
             j = j[(comp[j] != comp[i]) & (np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * rule.percent)]
             if len(j):
                 apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1).astype(np.int64)
                 j = j[rule.near((n[j] + n[i] - apart) // 2, n[j], n[i])]
-                out[0].extend([rep[i]] * len(j))
-                out[1].extend(rep[j])
+                out[0].append(np.full(len(j), rep[i]))
+                out[1].append(rep[j])
         if not out[0]:
             return None
-        a, b = np.array(out[0], np.int64), np.array(out[1], np.int64)
+        a, b = np.concatenate(out[0]), np.concatenate(out[1])
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches):
-        key, rows = None, None
-        names = ("token", "ta", "tb", "tile", "rep", "n", "comp", "bits")
+        key, parts = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = {k: batch.column(i).to_pylist() for i, k in enumerate(names)}
-            for i, k in enumerate(zip(cols["token"], cols["ta"], cols["tb"], strict=True)):
-                if k != key:
-                    if rows and (out := block(rows)) is not None:
+            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+            cuts = [0, *(np.flatnonzero((np.diff(keys) != 0).any(axis=0)) + 1), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if (k := tuple(keys[:, a])) != key:
+                    if parts and (out := block(parts)) is not None:
                         yield out
-                    key, rows = k, {x: [] for x in names}
-                for x in names:
-                    rows[x].append(cols[x][i])
-        if rows and (out := block(rows)) is not None:
+                    key, parts = k, []
+                parts.append(batch.slice(a, b - a))
+        if parts and (out := block(parts)) is not None:
             yield out
 
     return run
@@ -302,7 +333,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule, scra
 def _tiles(meets: DataFrame, of: DataFrame, nodes: DataFrame, comps: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """The pairs of classes in one group and different components that the bitmaps let pass."""
     spark = of.sparkSession
-    rows = meets.select("token", "rid").join(of.select("rid", "rep"), "rid").select("token", "rep").distinct()
+    rows = meets.where("token is not null").select("token", F.col("a").alias("rid")).join(of, "rid").select("token", "rep").distinct()
     rows = rows.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     groups = rows.groupBy("token").agg(F.count("*").alias("classes"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     rows = rows.join(groups.where("lo <> hi").select("token", "classes"), "token").select("token", "rep", "comp", "classes")
@@ -359,11 +390,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     of = scratch.keep(sets.where(f"{linkable} and tokens is not null").select("rid", "k1", "k2", "n").join(classes.select("k1", "k2", "n", "rep"), ["k1", "k2", "n"]).select("rid", "rep"))
     nodes = scratch.keep(classes.select("rep", "doc_id", "k1").join(sets.select(F.col("rid").alias("rep"), "n", "bits"), "rep"))
     tokens = sets.where(linkable).select("rid", "n", F.explode("tokens").alias("token"))
-    tokens = tokens.select("token", "rid", "n", F.floor(F.log(rule.base, F.col("n").cast("double"))).cast("int").alias("band"))
-    tokens = tokens.repartition(shuffle_partitions(spark), "token").sortWithinPartitions("token", "band", "n", "rid")
-    meets = scratch.keep(tokens.mapInArrow(_meets, "token long, rid long, n long, pivot long"))
-    pairs = meets.where("rid <> pivot").select("rid", "pivot").distinct()
-    pairs = pairs.join(of.select("rid", F.col("rep").alias("x")), "rid").join(of.select(F.col("rid").alias("pivot"), F.col("rep").alias("y")), "pivot")
+    tokens = tokens.select("token", "rid", F.floor(F.log(rule.base, F.col("n").cast("double"))).cast("int").alias("band"), "n")
+    tokens = tokens.repartition(shuffle_partitions(spark), "token").sortWithinPartitions("token", "band", "n", "rid").drop("n")
+    meets = scratch.keep(tokens.mapInArrow(_meets, MEETS))
+    pairs = meets.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.join(of.select(F.col("rid").alias("a"), F.col("rep").alias("x")), "a").join(of.select(F.col("rid").alias("b"), F.col("rep").alias("y")), "b")
     pairs = pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     stars = _links(pairs, nodes, docs, rule, scratch)
     comps = components(stars, scratch)
