@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sectorloom.llm.byte_bpe import bpe_decode, bpe_encode
 from sectorloom.llm.common import table
+from sectorloom.llm.embedding_dedup import near_vectors
 from sectorloom.llm.jaccard_join import jaccard_components
 from sectorloom.llm.mixing import mix_sources
 from sectorloom.llm.pii import find_pii
@@ -52,6 +53,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_byte_bpe": op2_byte_bpe,
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op8_pii": op8_pii,
     "op9_quality_rules": op9_quality_rules,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
