@@ -172,5 +172,13 @@ def string_chunks(column: pa.Array | pa.ChunkedArray, most: int = PIECE_BYTES) -
         first = last
 
 
+def apart(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with a space after each, so that no word spans two, and their offsets."""
+    at = np.arange(len(offsets) - 1)
+    out = np.full(len(data) + len(at), 0x20, np.uint8)
+    out[np.arange(len(data)) + np.repeat(at, np.diff(offsets))] = data
+    return out, offsets + np.arange(len(offsets))
+
+
 def text_column(df: DataFrame) -> DataFrame:
     return df.withColumn("text", F.col("text").cast("string"))

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sectorloom.llm.common import Scratch, bounded_batches, mix64, ngram_hashes, shuffle_partitions, string_chunks, text_column, word_hashes
+from sectorloom.llm.common import Scratch, apart, bounded_batches, mix64, ngram_hashes, shuffle_partitions, string_chunks, text_column, word_hashes
 from sectorloom.llm.components import components
 
 #: Up to so many members, a group's pairs are listed.
@@ -76,11 +76,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarr
     """The shingle set of each of the texts that lie one after another in data."""
     if len(offsets) == 2:
         return [shingle_set(word_hashes(data)[2], k)]
-    at = np.arange(len(offsets) - 1)
-    apart = np.full(len(data) + len(at), 0x20, np.uint8)  # a space after each text
-    apart[np.arange(len(data)) + np.repeat(at, np.diff(offsets))] = data
-    start, _, hashes = word_hashes(apart)
-    cut = np.searchsorted(start, offsets + np.arange(len(offsets)))
+    spaced, begins = apart(data, offsets)
+    start, _, hashes = word_hashes(spaced)
+    cut = np.searchsorted(start, begins)
     grams = ngram_hashes(hashes, k).view(np.int64)
     out = []
     for i, j in zip(cut[:-1], cut[1:], strict=True):

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from sectorloom.llm.byte_bpe import bpe_decode, bpe_encode
 from sectorloom.llm.common import table
 from sectorloom.llm.embedding_dedup import near_vectors
+from sectorloom.llm.html_text import extract_text
 from sectorloom.llm.jaccard_join import jaccard_components
+from sectorloom.llm.licenses import scan_licenses
 from sectorloom.llm.mixing import mix_sources
 from sectorloom.llm.pii import find_pii
 from sectorloom.llm.quality_rules import quality
@@ -28,6 +30,15 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.array_join("license.families", ",").alias("families"), "license.n_paragraphs", "license.score")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shard_documents(table(spark, sf_dir, "documents"), shards=40)
     crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).cast("long")
@@ -60,6 +71,8 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_html_text": op3_html_text,
+    "op4_license_scan": op4_license_scan,
     "op5_sharding": op5_sharding,
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
