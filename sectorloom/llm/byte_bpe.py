@@ -1,16 +1,17 @@
 """Byte-level BPE encoding and decoding by a shuffle of distinct words.
 
 Each task splits its texts into pre-tokens, numbers the distinct ones of a block of documents and keeps
-each document as the sequence of those numbers, by position. The blocks' distinct words, packed by a
-hash of the word, meet in a global shuffle where each distinct word is encoded once; the ids join back
-to the block's numbers, and the documents are reassembled by position. Decoding looks the ids up in the
-token-byte table, whose size the vocabulary bounds.
+each document as the sequence of those numbers, by position, in a table bucketed by block. The blocks'
+distinct words, packed by a hash of the word, meet in a global shuffle where each distinct word is encoded
+once; the ids join back to their block, whose documents stay where they are, and the documents are
+reassembled by position. Decoding looks the ids up in the token-byte table, whose size the vocabulary bounds.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,16 +20,19 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectorloom.llm.common import Scratch, bounded_batches, shuffle_partitions, text_column
+from sectorloom.llm.common import bounded_batches, shared_dir, shuffle_partitions, text_column
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: A block ends at so many distinct words or so many characters.
 BLOCK_WORDS = 300_000
 BLOCK_CHARS = 48 << 20
+#: Documents in a row of the table of blocks.
+ROW_DOCS = 100
 
 # The classes of public_tokenizers.PATTERN up to U+024F, where the standard library's faster engine does.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
@@ -83,19 +87,27 @@ def decoded(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> bytes:
 
 # ---------------------------------------------------------------- packing
 
+def _planes(a: np.ndarray) -> bytes:
+    """The numbers' lowest bytes, then the next ones, and so on: each plane compresses better alone."""
+    width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+    return bytes([width]) + a.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T.tobytes()
+
+
 def _pack(*arrays: np.ndarray, tail: bytes = b"") -> bytes:
     head = np.array([len(arrays), *map(len, arrays)], np.uint32).tobytes()
-    return zlib.compress(head + b"".join(a.astype(np.uint32).tobytes() for a in arrays) + tail, 1)
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(map(_planes, arrays)) + tail)
 
 
 def _unpack(payload: bytes) -> tuple[list[np.ndarray], bytes]:
-    raw = zlib.decompress(payload)
+    raw = zstandard.ZstdDecompressor().decompress(payload)
     k = int(np.frombuffer(raw, np.uint32, 1)[0])
-    sizes = np.frombuffer(raw, np.uint32, k, 4)
     at, out = 4 * (k + 1), []
-    for n in sizes:
-        out.append(np.frombuffer(raw, np.uint32, int(n), at))
-        at += 4 * int(n)
+    for n in np.frombuffer(raw, np.uint32, k, 4).tolist():
+        width = raw[at]
+        whole = np.zeros((n, 4), np.uint8)
+        whole[:, :width] = np.frombuffer(raw, np.uint8, n * width, at + 1).reshape(width, n).T
+        out.append(whole.view("<u4").ravel())
+        at += 1 + n * width
     return out, raw[at:]
 
 
@@ -105,44 +117,51 @@ class _Numbers(dict):
         return n
 
 
-BLOCKS = "block long, kind int, bucket int, doc_id long, payload binary"
+BLOCKS = "block long, bucket int, doc_ids array<long>, payload binary"
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["block", "kind", "bucket", "doc_id", "payload"])
+    kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["block", "bucket", "doc_ids", "payload"])
 
 
 def _blocks(buckets: int):
-    """(doc_id, text) -> per document the numbers of its words (kind 1), per block and bucket its words (kind 0)."""
-
-    def words_of(block: int, numbers: _Numbers) -> Iterator[pa.RecordBatch]:
-        words = [w.encode() for w in numbers]
-        at = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-        order = np.argsort(at, kind="stable")
+    """(doc_id, text) -> a block's documents as the numbers of their words (bucket null), and its words by bucket."""
+
+    def whole(block: int, numbers: _Numbers, docs: list[tuple]) -> Iterator[pa.RecordBatch]:
+        words = list(numbers)
+        counts = np.zeros(len(words), np.int64)
+        for _, ids in docs:
+            np.add.at(counts, ids, 1)
+        rank = np.empty(len(words), np.int64)  # frequent words get small numbers
+        rank[np.argsort(-counts, kind="stable")] = np.arange(len(words))
         rows = []
-        for part in np.split(order, np.flatnonzero(np.diff(at[order])) + 1) if len(order) else []:
-            own = [words[i] for i in part]
-            rows.append((block, 0, int(at[part[0]]), None, _pack(part, np.array([len(w) for w in own]), tail=b"".join(own))))
+        for i in range(0, len(docs), ROW_DOCS):
+            own = docs[i : i + ROW_DOCS]
+            sizes, flat = np.array([len(x) for _, x in own]), np.concatenate([x for _, x in own])
+            rows.append((block, None, [d for d, _ in own], _pack(sizes, rank[flat])))
+        yield _batch(rows)
+        coded = sorted((zlib.crc32(w := word.encode()) % buckets, w, i) for i, word in enumerate(words))
+        at = np.fromiter((b for b, _, _ in coded), np.int64, len(coded))
+        rows = []
+        for part in np.split(np.arange(len(coded)), np.flatnonzero(np.diff(at)) + 1) if coded else []:
+            own = [coded[i] for i in part]
+            rows.append((block, own[0][0], None, _pack(rank[[i for _, _, i in own]], np.array([len(w) for _, w, _ in own]), tail=b"".join(w for _, w, _ in own))))
         yield _batch(rows)
 
     def run(batches):
-        block, numbers, chars = TaskContext.get().partitionId() << 33, _Numbers(), 0
+        block, numbers, docs, chars = TaskContext.get().partitionId() << 33, _Numbers(), [], 0
         for batch in batches:
-            rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = pre_tokens(text or "")
-                ids = np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words))
-                small = len(numbers) <= 1 << 16
-                rows.append((block, 1, -2 if small else -1, doc_id, zlib.compress((ids.astype(np.uint16) if small else ids).tobytes(), 1)))
+                docs.append((doc_id, np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words))))
                 chars += len(text or "")
                 if len(numbers) >= BLOCK_WORDS or chars >= BLOCK_CHARS:
-                    yield _batch(rows)
-                    yield from words_of(block, numbers)
-                    block, numbers, chars, rows = block + 1, _Numbers(), 0, []
-            yield _batch(rows)
-        yield from words_of(block, numbers)
+                    yield from whole(block, numbers, docs)
+                    block, numbers, docs, chars = block + 1, _Numbers(), [], 0
+        if docs:
+            yield from whole(block, numbers, docs)
 
     return run
 
@@ -154,7 +173,7 @@ def _encode_words(path: str):
         encode, of, known = encoding(path)._encode_single_piece, None, {}
         for batch in batches:
             rows = []
-            for block, bucket, payload in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            for block, bucket, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if bucket != of:
                     of, known = bucket, {}
                 (numbers, lengths), data = _unpack(payload)
@@ -167,39 +186,24 @@ def _encode_words(path: str):
                         got = known[word] = encode(word)
                     ids.append(got)
                 counts = np.array([len(x) for x in ids])
-                rows.append((block, 0, bucket, None, _pack(numbers, counts, np.array([i for x in ids for i in x]))))
+                rows.append((block, bucket, None, _pack(numbers, counts, np.array([i for x in ids for i in x]))))
             yield _batch(rows)
 
     return run
 
 
-def _assemble(batches):
-    """A block's ids, then its documents -> (doc_id, ids)."""
-    of, parts, table = None, [], None
-    for batch in batches:
-        docs, ids = [], []
-        for block, kind, bucket, doc_id, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if block != of:
-                of, parts, table = block, [], None
-            if kind == 0:
-                parts.append(_unpack(payload)[0])
-                continue
-            if table is None:
-                table = _block_table(parts)
-                parts = []
-            starts, counts, flat = table
-            words = np.frombuffer(zlib.decompress(payload), np.uint16 if bucket == -2 else np.uint32)
-            docs.append(doc_id)
-            ids.append(flat[_spread(starts[words], counts[words])])
-        lengths = np.zeros(len(ids) + 1, np.int64)
-        np.cumsum([len(x) for x in ids], out=lengths[1:])
-        step = 0
-        while step < len(ids):  # a batch of bounded size
-            last = max(step + 1, int(np.searchsorted(lengths, lengths[step] + (2 << 20), "right")) - 1)
-            own = np.concatenate(ids[step:last]).astype(np.int32)
-            offsets = (lengths[step : last + 1] - lengths[step]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(docs[step:last], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(own))], names=["doc_id", "ids"])
-            step = last
+def _assemble(words: pa.Table, docs: pa.Table) -> pa.Table:
+    """The ids of a block's words and its documents' words -> (doc_id, ids)."""
+    starts, counts, flat = _block_table([_unpack(x)[0] for x in words.column("payload").to_pylist()])
+    out = []
+    for doc_ids, payload in zip(docs.column("doc_ids").to_pylist(), docs.column("payload").to_pylist(), strict=True):
+        (sizes, numbers), _ = _unpack(payload)
+        n = counts[numbers]
+        ids = flat[_spread(starts[numbers], n)].astype(np.int32)
+        ends = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
+        at = ends[np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))].astype(np.int32)
+        out.append(pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(ids))], names=["doc_id", "ids"]))
+    return pa.Table.from_batches(out, pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
 
 
 def _block_table(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,14 +226,15 @@ def bpe_encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    scratch, parts = Scratch(spark), shuffle_partitions(spark)
+    parts, name = shuffle_partitions(spark), f"sectorloom_{uuid.uuid4().hex}"
     docs = text_column(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    blocks = scratch.keep(docs.mapInArrow(_blocks(parts), BLOCKS))
-    words = blocks.where("kind = 0").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    words = words.mapInArrow(_encode_words(vocabulary), BLOCKS)
-    both = words.union(blocks.where("kind = 1"))
-    both = both.repartition(parts, "block").sortWithinPartitions("block", "kind")
-    return both.mapInArrow(_assemble, "doc_id long, ids array<int>")
+    blocks = docs.mapInArrow(_blocks(parts), BLOCKS)
+    blocks.write.bucketBy(parts, "block").option("path", f"{shared_dir(spark).rstrip('/')}/{name}").option("compression", "zstd").saveAsTable(name)
+    blocks = spark.table(name)
+    words = blocks.where("bucket is not null").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    words = words.mapInArrow(_encode_words(vocabulary), BLOCKS).select("block", "payload")
+    own = blocks.where("bucket is null").select("block", "doc_ids", "payload")
+    return words.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids array<int>")
 
 
 def bpe_decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
