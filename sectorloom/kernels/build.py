@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+from sectorloom.kernels.catalog_text import Catalog, emit
 from sectorloom.kernels.layout import HEADER_TAGS, SECTIONS2, SIGNATURES
 
 #: Entries and payload bytes of a table of the first generation at most.
@@ -25,6 +27,7 @@ class Options:
     level: int = 6
     set_identifier: bytes = b"\1" * 16
     headers: dict[str, str] = field(default_factory=dict)
+    catalog: Catalog | None = None
 
     def __post_init__(self):
         if self.format not in ("E01", "L01", "S01", "Ex01", "Lx01"):
@@ -33,6 +36,8 @@ class Options:
             raise ValueError("chunk size must be between 1 byte and 128 MiB")
         if self.method not in (("none", "zlib", "bzip2") if self.second else ("none", "zlib")):
             raise ValueError(f"{self.format} can't be compressed by {self.method}")
+        if self.catalog and self.format not in ("L01", "Lx01"):
+            raise ValueError(f"{self.format} holds no catalog")
 
     @property
     def chunk_size(self) -> int:
@@ -118,6 +123,10 @@ def first_generation(o: Options, number: int, chunks: Iterator[Stored], chunk_co
         used += len(c[1])
     if held:
         yield from group(held)
+    if last and o.catalog:
+        text = emit(o.catalog)
+        head = hashlib.md5(text).digest() + struct.pack("<QI", len(text), 0) + bytes(20)
+        yield section("ltree", head[:24] + struct.pack("<I", zlib.adler32(head)) + head[28:] + text)
     if last and hashes:
         yield section("digest", _summed(bytes.fromhex(hashes[0]) + bytes.fromhex(hashes[1]) + bytes(40)))
     yield section("done" if last else "next", b"", ends=True)
@@ -149,6 +158,8 @@ def second_generation(o: Options, number: int, chunks: Iterator[Stored], first_c
     case = {"case_number": "cn", "evidence_number": "en", "examiner_name": "ex", "description": "nm", "notes": "nt", "acquisition_version": "av", "acquisition_platform": "os", "acquisition_date": "at", "system_date": "tt"}
     own = [(case[k], v) for k, v in o.headers.items() if k in case]
     yield section("case_data", text([k for k, _ in own] or ["cn"], [v for _, v in own] or [""]))
+    if number == 1 and o.catalog:
+        yield section("single_files_data", emit(o.catalog))
     entries, begin, n = [], at, 0
     for kind, b, word in chunks:
         flags = {"pattern": 5, "raw": 2}.get(kind, 1)

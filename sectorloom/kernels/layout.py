@@ -13,6 +13,7 @@ import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+from sectorloom.kernels.catalog_text import Catalog, parse as parse_catalog
 from sectorloom.kernels.codec import Malformed, Unsupported, bzip2_cap, check, raw_cap, zlib_cap
 
 Read = Callable[[int, int], bytes]
@@ -73,6 +74,7 @@ class Segment:
     errors: list[tuple[int, int]] = field(default_factory=list)
     session_entries: list[tuple[int, int]] = field(default_factory=list)
     smart: bool = False
+    catalog: Catalog | None = None
 
     @property
     def chunk_size(self) -> int:
@@ -189,6 +191,13 @@ def parse1(read: Read, length: int, first_chunk: int = 0, geometry: Segment | No
         elif s.kind == "xhash":
             for k, v in xml_children(_packed(data()).decode("utf-8", "replace")).items():
                 out.hashes.setdefault(k.upper(), v.strip().lower())
+        elif s.kind == "ltree":
+            d = data()
+            n = struct.unpack_from("<Q", d, 16)[0] if len(d) >= 48 else 0
+            if len(d) < 48 or 48 + n > len(d):
+                raise Malformed("ltree section is too short")
+            check(struct.unpack_from("<I", d, 24)[0], d[:24] + bytes(4) + d[28:48], "ltree header", present=False)
+            out.catalog = _once(out.catalog, parse_catalog(d[48 : 48 + n]))
         elif s.kind == "error2":
             out.errors += _pairs(data(), 520, 8, "<II", "error2")
         elif s.kind == "session":
@@ -306,14 +315,20 @@ def _sections2(read: Read, length: int) -> list[tuple[Section, bytes]]:
     return out[::-1]
 
 
-def _text2(data: bytes, method: str) -> str:
+def _once(before: Catalog | None, now: Catalog) -> Catalog:
+    if before is not None:
+        raise Malformed("a second catalog")
+    return now
+
+
+def _plain2(data: bytes) -> bytes:
     if data[:2] in (b"x\x01", b"x\x5e", b"x\x9c", b"x\xda"):
-        data = _packed(data)
-    elif data[:3] == b"BZh":
+        return _packed(data)
+    if data[:3] == b"BZh":
         import bz2
 
-        data = bz2.BZ2Decompressor().decompress(data, MOST_METADATA)
-    return utf16(data) or ""
+        return bz2.BZ2Decompressor().decompress(data, MOST_METADATA)
+    return data
 
 
 def parse2(read: Read, length: int) -> Segment:
@@ -333,7 +348,7 @@ def parse2(read: Read, length: int) -> Segment:
         if s.has_hash and s.kind != "sector_data" and hashlib.md5(data()).digest() != digest:
             raise Malformed(f"{s.kind} integrity hash mismatch")
         if s.kind in ("device_information", "case_data"):
-            lines = _text2(data(), out.method).replace("\r", "").split("\n")
+            lines = (utf16(_plain2(data())) or "").replace("\r", "").split("\n")
             fields = dict(zip(lines[2].split("\t"), lines[3].split("\t"), strict=False)) if len(lines) > 3 else {}
             number = lambda *names, f=fields: next((int(f[k]) for k in names if f.get(k, "").isdigit()), 0)
             out.bytes_per_sector = out.bytes_per_sector or number("bp", "b")
@@ -349,6 +364,8 @@ def parse2(read: Read, length: int) -> Segment:
             check(struct.unpack_from("<I", d, n)[0], d[:n], s.kind, present=False)
             if value := _hash(d[:n]):
                 out.hashes.setdefault("MD5" if n == 16 else "SHA1", value)
+        elif s.kind == "single_files_data":
+            out.catalog = _once(out.catalog, parse_catalog(_plain2(data())))
         elif s.kind == "error_table":
             out.errors += _pairs(data(), 32, 16, "<QI", "error")
         elif s.kind == "session_table":

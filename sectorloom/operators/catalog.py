@@ -54,3 +54,21 @@ def at_most_one(rows: DataFrame, key: list[str], value: str) -> DataFrame:
 def complete(sections: DataFrame, key: list[str], kind: str, order: list[str]) -> DataFrame:
     """Whether the last section of each key is not "next"."""
     return sections.groupBy(*key).agg((F.max_by(kind, F.struct(*order)) != "next").alias("complete"))
+
+
+def read_files(entries: DataFrame, extents: DataFrame, chunks: DataFrame, chunk: int) -> DataFrame:
+    """(entry_key, data): each file's bytes from its extents; sparse extents read as zeros, bytes beyond the chunks are missing.
+
+    An extent is listed with the chunks that it meets, so that the join is by equality; the parts then
+    follow each other by extent and chunk. A file is assembled in one task, and files spread over tasks.
+    """
+    held = extents.where(~F.col("sparse") & (F.col("data_size") > 0))
+    last = F.floor((F.col("data_offset") + F.col("data_size") - 1) / chunk)
+    met = held.withColumn("chunk_index", F.explode(F.sequence(F.floor(F.col("data_offset") / chunk), last)))
+    begin = F.greatest(F.col("data_offset") - F.col("chunk_index") * chunk, F.lit(0))
+    end = F.least(F.col("data_offset") + F.col("data_size") - F.col("chunk_index") * chunk, F.lit(chunk))
+    parts = met.join(chunks.select("chunk_index", "data"), "chunk_index").select("entry_key", "extent_ordinal", "chunk_index", F.hex(F.substring(F.col("data"), (begin + 1).cast("int"), (end - begin).cast("int"))).alias("h"))
+    zeros = extents.where("sparse").select("entry_key", "extent_ordinal", F.lit(0).cast("long").alias("chunk_index"), F.repeat(F.lit("00"), F.col("data_size").cast("int")).alias("h"))
+    joined = parts.union(zeros).groupBy("entry_key").agg(F.sort_array(F.collect_list(F.struct("extent_ordinal", "chunk_index", "h"))).alias("parts"))
+    whole = joined.select("entry_key", F.unhex(F.array_join(F.transform("parts", lambda p: p["h"]), "")).alias("data"))
+    return entries.select("entry_key").join(whole, "entry_key", "left").withColumn("data", F.coalesce("data", F.unhex(F.lit(""))))

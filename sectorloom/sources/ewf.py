@@ -17,11 +17,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from sectorloom.kernels import layout as L
+from sectorloom.kernels.catalog_text import Catalog
 from sectorloom.kernels.codec import Malformed, decode
 from sectorloom.operators.chunks import stream_hashes
 
 SLICE = 1024
 
+_ENTRY = {"identifier": "decimal(20,0)", "type": "string", "name": "string", "short_name": "string", "size": "bigint", "logical_offset": "bigint", "physical_offset": "bigint", "duplicate_data_offset": "bigint", "source_identifier": "int", "subject_identifier": "bigint", "permission_group_index": "int", "record_type": "bigint", "flags": "bigint", "guid": "string", "creation_time": "bigint", "modification_time": "bigint", "access_time": "bigint", "entry_modification_time": "bigint", "deletion_time": "bigint", "md5": "string", "sha1": "string"}
+_SOURCE = {"identifier": "int", "name": "string", "evidence_number": "string", "location": "string", "device_guid": "string", "primary_device_guid": "string", "drive_type": "string", "manufacturer": "string", "model": "string", "serial_number": "string", "domain": "string", "ip_address": "string", "mac_address": "string", "size": "bigint", "logical_offset": "bigint", "physical_offset": "bigint", "acquisition_time": "bigint", "md5": "string", "sha1": "string"}
+_PERMISSION = {"name": "string", "identifier": "string", "property_type": "bigint", "access_mask": "bigint", "ace_flags": "bigint"}
+
+
+def _columns(lead: str, columns: dict[str, str]) -> str:
+    return ", ".join([lead, *(f"{k} {v}" for k, v in columns.items())])
+
+
 SCHEMAS = {
     "images": "image_id string, format string, segment_count int, chunk_size bigint, logical_size bigint, acquisition_complete boolean, sectors_per_chunk bigint, bytes_per_sector bigint, sector_count bigint, chunk_count bigint, set_identifier binary, compression_method string",
     "segments": "image_id string, segment_index int, segment_number bigint, path string, length bigint",
@@ -30,6 +40,13 @@ SCHEMAS = {
     "header_values": "image_id string, identifier string, value string",
     "hash_values": "image_id string, identifier string, value string",
     "acquisition_errors": "image_id string, ordinal int, first_sector bigint, sector_count bigint",
+    "catalogs": "image_id string, data_size bigint",
+    "file_entries": _columns("image_id string, entry_key int, parent_key int, depth int, child_ordinal int", _ENTRY),
+    "file_extents": "image_id string, entry_key int, extent_ordinal int, data_offset bigint, data_size bigint, sparse boolean",
+    "file_sources": _columns("image_id string, source_index int", _SOURCE),
+    "file_subjects": "image_id string, subject_index int, identifier bigint, name string",
+    "permission_groups": _columns("image_id string, group_index int", _PERMISSION),
+    "permissions": _columns("image_id string, group_index int, ace_index int", _PERMISSION),
     "encoded_chunks": "image_id string, chunk_index bigint, logical_offset bigint, logical_size int, encoded_size bigint, encoding string, pattern decimal(20,0), has_checksum boolean, data binary",
     "chunks": "image_id string, chunk_index bigint, logical_offset bigint, logical_size int, corrupted boolean, data binary",
 }
@@ -93,6 +110,10 @@ class Image:
         self.hashes: dict[str, str] = {}
         for s in self.segments:
             self.hashes = s.hashes | self.hashes
+        catalogs = [s.catalog for s in self.segments if s.catalog]
+        if len(catalogs) > 1:
+            raise Malformed("a second catalog")
+        self.catalog = catalogs[0] if catalogs else None
         L.coverage([(r.first_chunk, r.count) for s in self.segments for r in s.ranges], -(-self.size // self.chunk_size))
 
 
@@ -138,9 +159,33 @@ class EwfReader(DataSourceReader):
             yield from ((k, a, b) for a, b in sorted(m.headers.items()))
         elif self.table == "hash_values":
             yield from ((k, a, b) for a, b in sorted(m.hashes.items()))
+        elif self.table in ("catalogs", "file_entries", "file_extents", "file_sources", "file_subjects", "permission_groups", "permissions"):
+            if m.catalog:
+                yield from self._catalog(m.image_id, m.catalog)
         elif self.table == "acquisition_errors":
             yield from ((k, i, a, n) for i, (a, n) in enumerate(head.errors))
 
+    def _catalog(self, k: str, c: Catalog) -> Iterator[tuple]:
+        from decimal import Decimal
+
+        def of(row: dict, columns: dict[str, str]) -> tuple:
+            return tuple(None if (v := row.get(name)) is None else Decimal(v) if kind.startswith("decimal") else v for name, kind in columns.items())
+
+        if self.table == "catalogs":
+            yield k, c.data_size
+        elif self.table == "file_entries":
+            yield from ((k, e["entry_key"], e["parent_key"], e["depth"], e["child_ordinal"], *of(e, _ENTRY)) for e in c.entries)
+        elif self.table == "file_extents":
+            yield from ((k, e["entry_key"], i, a, n, s) for e in c.entries for i, (a, n, s) in enumerate(e.get("extents", [])))
+        elif self.table == "file_sources":
+            yield from ((k, i, *of(r, _SOURCE)) for i, r in enumerate(c.sources))
+        elif self.table == "file_subjects":
+            yield from ((k, i, r.get("identifier"), r.get("name")) for i, r in enumerate(c.subjects))
+        elif self.table == "permission_groups":
+            yield from ((k, i, *of(r, _PERMISSION)) for i, r in enumerate(c.groups))
+        else:
+            yield from ((k, i, j, *of(p, _PERMISSION)) for i, r in enumerate(c.groups) for j, p in enumerate(r["permissions"]))
+
     def read(self, partition: Slice) -> Iterator[tuple]:
         if partition.rows is not None:
             yield from partition.rows
