@@ -43,21 +43,23 @@ def _ratio(a: str, b: str) -> Column:
     return F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
 
 
-MEASURES = {
-    "mean_word_length": _ratio("word_chars", "n_words"),
-    "symbol_ratio": _ratio("n_symbols", "n_words"),
-    "stop_words": F.col("n_stop_words").cast("double"),
-    "dup_line_ratio": _ratio("n_dup_lines", "n_lines"),
-    "ellipsis_line_ratio": _ratio("n_ellipsis_lines", "n_lines"),
-    "bullet_line_ratio": _ratio("n_bullet_lines", "n_lines"),
-}
+def measures() -> dict[str, Column]:
+    """The ratios that a threshold can name."""
+    return {
+        "mean_word_length": _ratio("word_chars", "n_words"),
+        "symbol_ratio": _ratio("n_symbols", "n_words"),
+        "stop_words": F.col("n_stop_words").cast("double"),
+        "dup_line_ratio": _ratio("n_dup_lines", "n_lines"),
+        "ellipsis_line_ratio": _ratio("n_ellipsis_lines", "n_lines"),
+        "bullet_line_ratio": _ratio("n_bullet_lines", "n_lines"),
+    }
 
 
 def verdict(rules: tuple[Threshold, ...] = RULES) -> Column:
     """All rules in one expression: true if every measure lies within its bounds."""
-    out = F.lit(True)
+    out, known = F.lit(True), measures()
     for r in rules:
-        m = MEASURES[r.measure]
+        m = known[r.measure]
         if r.least is not None:
             out = out & (m >= F.lit(float(r.least)))
         if r.most is not None:
