@@ -76,7 +76,7 @@ def _draw(own: Column, rest: Column, take: Column, u: Column) -> Column:
     peak = F.aggregate(ks, first, lambda a, k: F.struct(log(a["at"], k).alias("at"), F.greatest(a["peak"], log(a["at"], k)).alias("peak")))["peak"]
     none = F.struct(F.lit(0.0).alias("at"), F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("k"))
 
-    def add(bound: Column):
+    def add(peak: Column, bound: Column):
         """Sums odds; k counts those whose sum stays below the bound."""
 
         def step(a, k):
@@ -86,14 +86,22 @@ def _draw(own: Column, rest: Column, take: Column, u: Column) -> Column:
 
         return step
 
-    total = F.aggregate(ks, none, add(F.lit(0.0)))["sum"]
-    return F.least(low + F.aggregate(ks, none, add(u * total))["k"], F.greatest(high, low))
+    def below(peak: Column) -> Column:
+        total = F.aggregate(ks, none, add(peak, F.lit(0.0)))["sum"]
+        return _let(u * total, lambda bound: F.aggregate(ks, none, add(peak, bound))["k"])
+
+    return F.least(low + _let(peak, below), F.greatest(high, low))
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once rather than wherever it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def split_quotas(quotas: DataFrame, shards: int, seed: int, scratch: Scratch) -> DataFrame:
     """(source_id long, blocks long) -> (source_id, shard, blocks) with exact sums over shards and shard totals at most one apart."""
     whole = Window.partitionBy("lo", "hi").orderBy("source_id")
-    ahead, node = whole.rowsBetween(1, Window.unboundedFollowing), Window.partitionBy("lo", "hi")
+    ahead = whole.rowsBetween(1, Window.unboundedFollowing)
     now = quotas.select("source_id", "blocks", F.lit(0).alias("lo"), F.lit(shards).alias("hi"))
     all_blocks = Window.partitionBy()
     now = now.withColumn("all", F.sum("blocks").over(all_blocks)).where("blocks > 0")
@@ -106,15 +114,18 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int, scratch: Scratch) ->
 
         now = now.withColumn("mid", mid).withColumn("rest", F.coalesce(F.sum("blocks").over(ahead), F.lit(0)))
         now = now.withColumn("take", upto(F.col("mid")) - upto(F.col("lo"))).withColumn("u", _uniform(seed, "source_id", "lo", "hi"))
-        now = _conditional(now, node)
-        left = now.select("source_id", F.col("left").alias("blocks"), "lo", F.col("mid").alias("hi"), "all")
-        right = now.select("source_id", (F.col("blocks") - F.col("left")).alias("blocks"), F.col("mid").alias("lo"), "hi", "all")
-        now = scratch.keep(left.union(right).where("blocks > 0 and hi > lo"))
+        now = _conditional(now)
+        halves = F.array(
+            F.struct(F.col("left").alias("blocks"), F.col("lo").alias("lo"), F.col("mid").alias("hi")),
+            F.struct((F.col("blocks") - F.col("left")).alias("blocks"), F.col("mid").alias("lo"), F.col("hi").alias("hi")),
+        )
+        now = now.select("source_id", "all", F.explode(halves).alias("half")).select("source_id", "half.*", "all")
+        now = scratch.keep(now.where("blocks > 0 and hi > lo"))
         width = (width + 1) // 2
     return now.select("source_id", F.col("lo").alias("shard"), "blocks")
 
 
-def _conditional(now: DataFrame, node) -> DataFrame:
+def _conditional(now: DataFrame) -> DataFrame:
     """Draws a node's sources in turn: each from what the draws before it leave."""
     group = F.sort_array(F.collect_list(F.struct("source_id", "blocks", "rest", "u")))
     nodes = now.groupBy("lo", "mid", "hi", "all", "take").agg(group.alias("own"))
