@@ -14,6 +14,7 @@ from sectorloom.llm.html_text import extract_text
 from sectorloom.llm.jaccard_join import jaccard_components
 from sectorloom.llm.licenses import scan_licenses
 from sectorloom.llm.mixing import mix_sources
+from sectorloom.llm.oracles import JACCARD, QUALITY, VECTORS
 from sectorloom.llm.pii import find_pii
 from sectorloom.llm.quality_rules import quality
 from sectorloom.llm.sharding import record_size, shard_documents
@@ -81,4 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: SQL can't express the seeded hashes and draws, the classifiers, the parsers and the BPE merges; tests hold those against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": JACCARD,
+    "op9_quality_rules": QUALITY,
+    "op10_embedding_dedup": VECTORS,
+}
