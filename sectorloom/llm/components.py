@@ -2,25 +2,52 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sectorloom.llm.common import Scratch
 
 
+#: Links that one task may hold; more are united by stars.
+IN_ONE_TASK = 1_000_000
+
+
+def _forest(batches):
+    """(a, b) -> (node, component), the least node of each tree, in one task."""
+    parts = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches if b.num_rows]
+    if not parts:
+        return
+    pairs = np.concatenate(parts, axis=1)
+    nodes, at = np.unique(pairs, return_inverse=True)
+    a, b = at.reshape(pairs.shape)
+    root = np.arange(len(nodes))
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low < high
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "component"])
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, in_one_task: int = IN_ONE_TASK) -> DataFrame:
     """(a long, b long) links -> (node long, component long): the smallest node reachable.
 
     Only nodes with a link to another are returned. Null ends and loops are ignored, repeated links
-    count once, no links give no rows. Every step is a keyed aggregation or join, so a node that a
-    third of all links touch is pre-aggregated or split by the skew join.
+    count once, no links give no rows.
     """
     lo, hi = F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")
-    now = scratch.keep(edges.where("a is not null and b is not null and a <> b").select(hi, lo).distinct())
+    some = edges.where("a is not null and b is not null and a <> b").select(hi, lo)
+    if some.count() <= in_one_task:  # beyond, a node that a third of all links touch is pre-aggregated or split by the skew join
+        return scratch.keep(some.coalesce(1).mapInArrow(_forest, "node long, component long"))
+    now = scratch.keep(some.distinct())
     state = _state(now)
     while state[0]:
         both = now.select("a", "b").union(now.select(F.col("b"), F.col("a")))

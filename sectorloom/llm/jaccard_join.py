@@ -3,8 +3,11 @@
 Documents with equal shingle sets collapse into a class. Each class sends its smallest shingle hashes
 (the prefix that any partner at the threshold must meet, and a little more) to the shingles' groups.
 A small group's pairs and, in a larger group, a star to the first class of each size band are tested;
-what that leaves apart in the larger groups is cut into size-banded tiles, compared in blocks by bitmaps
-whose bit counts bound the overlap from above. What passes is decided on the whole sorted arrays.
+larger groups with the same first class then merge, as a passage's shingles do, and what is still apart
+in them is cut into size-banded tiles, compared in blocks by bitmaps whose bit counts bound the overlap
+from above. What passes is decided on the whole sorted arrays. The first rounds over the tiles pass on
+each class's nearest only, so that copies unite without all their pairs; the last passes on every pair
+that is left.
 
 A group larger than ``HOT`` holds boilerplate. Two classes whose further prefix hashes make up for
 their hot ones meet in another group, so in a hot group only classes short of that are compared with
@@ -19,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sectorloom.llm.common import Scratch, apart, bounded_batches, mix64, ngram_hashes, shuffle_partitions, string_chunks, text_column, word_hashes
@@ -27,10 +30,12 @@ from sectorloom.llm.components import components
 
 #: Up to so many members, a group's pairs are listed.
 SMALL = 8
-#: Classes in a tile.
-TILE = 512
+#: Classes in a tile; a group with no more is one tile.
+TILE = 2048
 #: Above so many classes, a shingle's group is hot.
 HOT = 2048
+#: Rounds over the tiles that pass on the nearest of each class before the round that passes on all.
+ROUNDS = 1
 #: Members compared with one pivot in one task.
 STAR = 4096
 #: Sets whose copies a task recognises before it forgets them all.
@@ -87,8 +92,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarr
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Hashed bitmap with 1 to 2 bits for each element; halves fold together for a smaller width."""
-    bits = 1 << max(6, (len(s) - 1).bit_length())
+    """Hashed bitmap with 2 to 4 bits for each element; halves fold together for a smaller width."""
+    bits = 1 << max(6, (2 * len(s) - 1).bit_length())
     flags = np.zeros(bits, np.uint8)
     flags[(mix64(s.view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(flags, bitorder="little").tobytes()
@@ -230,15 +235,16 @@ def _by_bits(rule: Rule):
     return run
 
 
-def _in_tiles(rule: Rule):
-    """Rows (token, ta, tb, tile, rep, n, comp, bits) sorted by the first three -> pairs in different components that the bitmaps let pass."""
+def _in_tiles(rule: Rule, nearest: bool):
+    """Rows (token, ta, tb, tile, rep, n, bits, comp) sorted by the first three -> pairs in different components that the bitmaps let pass; or the nearest such of each row."""
 
     def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         rows = pa.Table.from_batches(parts)
-        ta, tb, tile, rep, n, comp = (rows.column(i).to_numpy() for i in range(1, 7))
+        ta, tb, tile, rep, n = (rows.column(i).to_numpy() for i in range(1, 6))
+        comp = rows.column(7).to_numpy()
         if (comp == comp[0]).all():
             return None
-        bits = rows.column(7).to_pylist()
+        bits = rows.column(6).to_pylist()
         width = min(map(len, bits))
         bits = np.stack([folded(b, width) for b in bits])
         left, right = np.flatnonzero(tile == ta[0]), np.flatnonzero(tile == tb[0])
@@ -248,7 +254,10 @@ def _in_tiles(rule: Rule):
             j = j[(comp[j] != comp[i]) & (np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * rule.percent)]
             if len(j):
                 apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1).astype(np.int64)
-                j = j[rule.near((n[j] + n[i] - apart) // 2, n[j], n[i])]
+                ok = rule.near((n[j] + n[i] - apart) // 2, n[j], n[i])
+                j = j[ok]
+                if nearest and len(j):
+                    j = j[np.argmin(apart[ok] / (n[j] + n[i]))][None]
                 out[0].append(np.full(len(j), rep[i]))
                 out[1].append(rep[j])
         if not out[0]:
@@ -329,30 +338,30 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule, scra
 
 
 def _tiles(meets: DataFrame, of: DataFrame, nodes: DataFrame, comps: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
-    """The pairs of classes in one group and different components that the bitmaps let pass."""
-    spark = of.sparkSession
-    rows = meets.where("token is not null").select("token", F.col("a").alias("rid")).join(of, "rid").select("token", "rep").distinct()
-    rows = rows.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    groups = rows.groupBy("token").agg(F.count("*").alias("classes"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    rows = rows.join(groups.where("lo <> hi").select("token", "classes"), "token").select("token", "rep", "comp", "classes")
-    rows = rows.join(nodes.select("rep", "n"), "rep")
-    rows = scratch.keep(rows.withColumn("band", F.floor(F.log(rule.base, F.col("n").cast("double"))).cast("int")))
-    short = rows.where(F.col("classes") > HOT).groupBy("rep", "n").agg(F.count("*").alias("hot"))
+    """(token, ta, tb, tile, rep, n, bits): the classes of the large groups, tile by tile that they must face."""
+    rows = scratch.keep(meets.where("token is not null").select("token", F.col("a").alias("rid")).join(of, "rid").select("token", "rep").distinct())
+    groups = rows.groupBy("token").agg(F.count("*").alias("classes"), F.min("rep").alias("first")).where("classes > 1")
+    rows = rows.join(groups, "token").join(nodes.select("rep", "n"), "rep")
     alpha = F.ceil(F.col("n") * rule.percent / F.lit(100)).cast("long")
     sent = F.least(F.col("n"), F.col("n") - alpha + 1 + F.ceil(F.col("n") / 20))
-    short = short.where(sent - F.col("hot") < F.col("n") - alpha + 1).select("rep", F.lit(0).alias("in_full"))
-    # kind 1: in a hot group, and its other hashes are enough
-    hot = rows.where(F.col("classes") > HOT).join(short, "rep", "left").withColumn("kind", F.coalesce("in_full", F.lit(1))).drop("in_full")
-    rows = rows.where(F.col("classes") <= HOT).withColumn("kind", F.lit(0)).unionByName(hot)
-    sizes = rows.groupBy("token", "band", "kind").agg(F.count("*").alias("c"))
-    parts = sizes.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct((F.col("band") * 2 + F.col("kind")).alias("k"), F.ceil(F.col("c") / TILE).cast("int").alias("h")))).alias("parts"))
-    rows = rows.join(parts, "token")
+    hot = F.when(F.col("classes") > HOT, F.lit(1)).otherwise(F.lit(0))
+    # groups with one first class merge; kind 1: in a hot group, while its other hashes are enough
+    rows = rows.groupBy("rep", "n", (F.col("first") * 2 + hot).alias("token")).agg(F.count("*").alias("times"))
+    rows = rows.withColumn("hot", F.sum(F.when(F.col("token") % 2 == 1, F.col("times")).otherwise(0)).over(Window.partitionBy("rep")))
+    kind = F.when((F.col("token") % 2 == 1) & (sent - F.col("hot") >= F.col("n") - alpha + 1), 1).otherwise(0)
+    rows = rows.select("rep", "n", "token", kind.alias("kind"))
+    rows = rows.join(rows.groupBy("token").agg(F.count("*").alias("members")), "token")
+    band = F.when(F.col("members") > TILE, F.floor(F.log(rule.base, F.col("n").cast("double")))).otherwise(F.lit(0))
+    rows = rows.withColumn("band", band.cast("int"))
+    rows = rows.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+    sizes = rows.groupBy("token", "band", "kind").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    part = F.struct((F.col("band") * 2 + F.col("kind")).alias("k"), F.ceil(F.col("c") / TILE).cast("int").alias("h"))
+    parts = sizes.groupBy("token").agg(F.map_from_entries(F.collect_list(part)).alias("parts"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    rows = rows.join(parts.where("lo <> hi").select("token", "parts"), "token")
 
     def code(k, h):
         return k.cast("long") * F.lit(1 << 24) + h.cast("long")
 
-    own = F.col("band") * 2 + F.col("kind")
-    mine = code(own, F.pmod(F.xxhash64("rep"), F.try_element_at("parts", own)))
     def facing(d: int, kind: int):
         """The tiles of the band d further, or none."""
         k = (F.col("band") + d) * 2 + kind
@@ -360,12 +369,17 @@ def _tiles(meets: DataFrame, of: DataFrame, nodes: DataFrame, comps: DataFrame,
         found = F.transform(F.sequence(F.lit(0), n - 1), lambda h: code(k, h))
         return F.when(n.isNotNull() & ((F.col("kind") == 0) | F.lit(kind == 0)), found).otherwise(F.array().cast("array<long>"))
 
-    others = [facing(d, kind) for d in (-1, 0, 1) for kind in (0, 1)]
-    rows = rows.withColumn("tile", mine).withColumn("other", F.explode(F.concat(*others)))
-    rows = rows.select("token", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "tile", "rep", "n", "comp")
-    rows = rows.join(nodes.select("rep", "bits"), "rep").select("token", "ta", "tb", "tile", "rep", "n", "comp", "bits")
-    rows = rows.repartition(shuffle_partitions(spark), "token", "ta", "tb").sortWithinPartitions("token", "ta", "tb")
-    return scratch.keep(rows.mapInArrow(_in_tiles(rule), "a long, b long").distinct())
+    own = F.col("band") * 2 + F.col("kind")
+    rows = rows.withColumn("tile", code(own, F.pmod(F.xxhash64("rep"), F.try_element_at("parts", own))))
+    rows = rows.withColumn("other", F.explode(F.concat(*[facing(d, kind) for d in (-1, 0, 1) for kind in (0, 1)])))
+    rows = rows.select("token", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "tile", "rep", "n")
+    return scratch.keep(rows.join(nodes.select("rep", "bits"), "rep").select("token", "ta", "tb", "tile", "rep", "n", "bits"))
+
+
+def _apart_in_tiles(tiles: DataFrame, comps: DataFrame, rule: Rule, nearest: bool) -> DataFrame:
+    rows = tiles.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("token", "ta", "tb", "tile", "rep", "n", "bits", F.coalesce("component", "rep").alias("comp"))
+    rows = rows.repartition(shuffle_partitions(tiles.sparkSession), "token", "ta", "tb").sortWithinPartitions("token", "ta", "tb")
+    return rows.mapInArrow(_in_tiles(rule, nearest), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
@@ -394,11 +408,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     pairs = meets.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = pairs.join(of.select(F.col("rid").alias("a"), F.col("rep").alias("x")), "a").join(of.select(F.col("rid").alias("b"), F.col("rep").alias("y")), "b")
     pairs = pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    stars = _links(pairs, nodes, docs, rule, scratch)
-    comps = components(stars, scratch)
-    rest = _tiles(meets, of, nodes, comps, rule, scratch)
-    more = _links(rest, nodes, docs, rule, scratch)
-    comps = components(stars.union(more), scratch)
+    links = _links(pairs, nodes, docs, rule, scratch)
+    comps = components(links, scratch)
+    tiles = _tiles(meets, of, nodes, comps, rule, scratch)
+    for left in range(ROUNDS, -1, -1):
+        more = _links(_apart_in_tiles(tiles, comps, rule, nearest=left > 0), nodes, docs, rule, scratch)
+        links = links.union(more)
+        comps = components(links, scratch)
     named = classes.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     least = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     named = scratch.keep(named.join(least, "comp").select("k1", "k2", "n", "component_id"))
@@ -416,4 +432,5 @@ def keep_first(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     """
     found = jaccard_components(docs, words, percent)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
