@@ -1,6 +1,7 @@
 """License scans: a trained paragraph classifier with a calibrated unknown class, confirmed against templates.
 
-Paragraphs are lines, long ones in overlapping windows. Sparse features are hashed word uni- and bigrams
+A paragraph ends at a blank line; its lines are read joined, without comment leads, in overlapping windows,
+and each on its own, so that a one-line notice among prose stands out. Sparse features are hashed word uni- and bigrams
 that the templates hold; a multinomial logistic regression over licence families and "unknown" is trained
 on corrupted templates and on prose, and calibrated on a held-out part by a temperature. A prediction
 counts if a template of the family covers it: enough of the template's bigrams stand in the paragraph.
@@ -89,6 +90,9 @@ NEAR_MISSES = (
     "Creative people share their work with the commons.",
 )
 
+# fixed values: what names each of the GNU families
+_GNU = {"GPL": ("GNU General", "GNU GPL"), "LGPL": ("GNU Lesser", "GNU LGPL"), "AGPL": ("GNU Affero", "GNU AGPL")}
+
 _map = np.full(256, 0x20, np.uint8)
 _map[128:] = np.arange(128, 256)
 for _c in range(128):
@@ -110,6 +114,11 @@ def _features(words: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([mix64(words), ngram_hashes(words, 2)]))
 
 
+@lru_cache(maxsize=1)
+def _gnu_names() -> dict[str, np.ndarray]:
+    return {f: np.concatenate([ngram_hashes(_of_text(n), 2) for n in names]) for f, names in _GNU.items()}
+
+
 @dataclass
 class Model:
     families: list[str]
@@ -126,6 +135,10 @@ class Model:
         at[at == len(self.known)] = 0
         return at[self.known[at] == f]
 
+    def covered(self, family: str, pairs: np.ndarray) -> float:
+        """The largest share of a template's bigrams among the pairs."""
+        return max(np.isin(t, pairs).mean() for t in self.templates[family])
+
     def classify(self, words: np.ndarray) -> tuple[str, float]:
         """The family, if a template confirms it, and its probability; else unknown."""
         at = self.vector(words)
@@ -133,11 +146,18 @@ class Model:
         p = np.exp(z - z.max())
         p /= p.sum()
         pairs = ngram_hashes(words, 2)
+        # the GNU families share their notices but for the name: it decides, and their probability is one
+        gnu = [self.families.index(f) for f in _GNU]
+        named = [k for k in gnu if np.isin(_gnu_names()[self.families[k]], pairs).any()]
+        both = p[gnu].sum()
+        p[gnu] = 0
+        if named:
+            p[max(named, key=lambda k: (self.covered(self.families[k], pairs), -gnu.index(k)))] = both
         for k in np.argsort(-p):
             family = self.families[k]
             if family == UNKNOWN or p[k] < PROBABLE:
                 break
-            if max(np.isin(t, pairs).mean() for t in self.templates[family]) >= COVERED:
+            if self.covered(family, pairs) >= COVERED:
                 return family, float(p[k])
         return UNKNOWN, float(p[self.families.index(UNKNOWN)])
 
@@ -195,34 +215,85 @@ def train(seed: int = 5, copies: int = 40) -> Model:
     return model
 
 
+# fixed values: words that lead a comment line in batch files, m4 macros and Fortran
+_LEADS = np.array([_of_text(w)[0] for w in ("rem", "dnl", "c")])
+
+
+class _Cover:
+    """Which templates may be covered by a set of telling bigrams."""
+
+    def __init__(self, model: Model):
+        sets = [t for ts in model.templates.values() for t in ts]
+        self.holds = np.stack([np.isin(model.telling, t) for t in sets], axis=1).astype(np.int16)
+        self.least = np.array([COVERED * len(t) for t in sets])
+        self.few = max(1, int(np.ceil(self.least.min())))
+
+    def any(self, ids: np.ndarray) -> bool:
+        return bool((self.holds[np.unique(ids)].sum(axis=0) >= self.least - 1e-9).any())
+
+
+def _found(model: Model, cover: _Cover, h: np.ndarray, unit: np.ndarray, hits: np.ndarray, ids: np.ndarray) -> dict[int, tuple[int, dict[str, float]]]:
+    """Per unit of words that holds a licence its first word and the best probability of each family."""
+    first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+    size = np.diff(np.append(first, len(unit)))
+    # windows of each unit, and of those the ones with enough hits for the smallest template
+    n = np.maximum(1, -(-(size - STEP) // STEP))
+    of = np.repeat(np.arange(len(first)), n)
+    lo = first[of] + STEP * (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))
+    hi = np.minimum(lo + WINDOW, first[of] + size[of])
+    a, b = np.searchsorted(hits, lo), np.searchsorted(hits, hi - 1)
+    out: dict[int, tuple[int, dict[str, float]]] = {}
+    for w in np.flatnonzero(b - a >= cover.few):
+        if not cover.any(ids[a[w] : b[w]]):
+            continue
+        family, p = model.classify(h[lo[w] : hi[w]])
+        if family != UNKNOWN:
+            _, best = out.setdefault(int(unit[lo[w]]), (int(first[of[w]]), {}))
+            best[family] = max(p, best.get(family, 0))
+    return out
+
+
 FOUND = "struct<families:array<string>,n_paragraphs:bigint,score:double>"
 
 
 def scan(column: pa.Array) -> list[dict]:
     """Per text the families found, sorted, the paragraphs that hold one, and the highest probability."""
     model, out = train(), []
+    cover = _Cover(model)
     for _, _, data, offsets in string_chunks(column):
         data, offsets = apart(data, offsets)
         start, h = _words(data)
+        # a line feed, a carriage return without one, or a text's end closes a line
+        alone = np.flatnonzero(data == 0x0D)
+        alone = alone[data[np.minimum(alone + 1, len(data) - 1)] != 0x0A]
+        ends = np.union1d(np.union1d(np.flatnonzero(data == 0x0A), alone), offsets[1:])
+        line = np.searchsorted(ends, start, "right")
+        lead = np.isin(h, _LEADS)
+        lead[1:] &= line[1:] != line[:-1]
+        start, h, line = start[~lead], h[~lead], line[~lead]
+        if len(h) < 2:
+            out += [{"families": [], "n_paragraphs": 0, "score": None}] * (len(offsets) - 1)
+            continue
+        text = np.searchsorted(offsets, start, "right") - 1
+        # a line without a word, or a text's end, closes a paragraph
+        fresh = (np.diff(line) > 1) | (np.diff(text) > 0)
+        block = np.concatenate([[0], np.cumsum(fresh)])
         pairs = ngram_hashes(h, 2)
         at = np.searchsorted(model.telling, pairs)
         at[at == len(model.telling)] = 0
-        hits = start[:-1][model.telling[at] == pairs] if len(pairs) else start[:0]
-        # a line end or a text's end closes a paragraph; only those with a templates' bigram can be confirmed
-        ends = np.union1d(np.flatnonzero(data == 0x0A), offsets[1:])
-        likely = np.unique(np.searchsorted(ends, hits, "right"))
+        hits = np.flatnonzero((model.telling[at] == pairs) & ~fresh)
+        ids = at[hits]
         found: dict[int, list] = defaultdict(list)
-        for k in likely:
-            end, begin = int(ends[k]), int(ends[k - 1]) if k else 0
-            text = int(np.searchsorted(offsets, begin, "right")) - 1
-            words = h[np.searchsorted(start, begin) : np.searchsorted(start, end)]
-            best = {}
-            for i in range(0, max(1, len(words) - STEP), STEP):
-                family, p = model.classify(words[i : i + WINDOW])
-                if family != UNKNOWN:
-                    best[family] = max(p, best.get(family, 0))
-            if best:
-                found[text].append(best)
+        by_line = _found(model, cover, h, line, hits, ids)
+        by_block = _found(model, cover, h, block, hits, ids)
+        held = defaultdict(set)
+        for word, best in by_line.values():
+            found[int(text[word])].append(best)
+            held[int(block[word])] |= set(best)
+        for k, (word, best) in by_block.items():
+            # what a line of the paragraph holds is counted with the line
+            if not set(best) <= held[k]:
+                found[int(text[word])].append(best)
         for i in range(len(offsets) - 1):
             own = found.get(i, [])
             every = {f: max(b.get(f, 0) for b in own) for b in own for f in b}

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -168,6 +169,19 @@ def test_licenses(spark):
     assert got[1]["score"] is None and got[5]["score"] > 0.5
 
 
+def test_wrapped_licenses():
+    noise = "the quick words of a text about nothing at all. " * 40
+    wrap = lambda text, width, lead: "\n".join(lead + line for line in textwrap.wrap(text, width))
+    cases = [(f, t, width, lead, among) for f, ts in licenses.TEMPLATES.items() for t in ts for width in (30, 60, 78) for lead in ("", " * ", "# ", "REM ") for among in (False, True)]
+    texts = [wrap(t, width, lead) if not among else "\n".join([wrap(noise, width, lead), wrap(t, width, lead), wrap(noise, width, lead)]) for _, t, width, lead, among in cases]
+    for case, row in zip(cases, licenses.scan(licenses.pa.array(texts)), strict=True):
+        assert (row["families"], row["n_paragraphs"]) == ([case[0]], 1), case
+    grant, keep = licenses.TEMPLATES["MIT"][2:]
+    whole = "MIT License\r\n\r\nCopyright (c) 2020 Jane\r\n\r\n" + wrap(grant, 78, "").replace("\n", "\r\n") + "\r\n\r\n" + wrap(keep, 78, "").replace("\n", "\r\n")
+    rows = licenses.scan(licenses.pa.array([whole, "Licensed under CC BY 4.0.\nReleased under the ISC License.", " *\n".join(licenses.NEAR_MISSES), wrap(grant, 40, "").replace("\n", "\r")]))
+    assert [(r["families"], r["n_paragraphs"]) for r in rows] == [(["MIT"], 2), (["CC-BY", "ISC"], 2), ([], 0), (["MIT"], 1)]
+
+
 def test_sharding(spark):
     rows = corpus() + [(3, "again", "en", "a", 0)]
     docs = make(spark, rows).withColumn("slot", F.lit("clash"))
