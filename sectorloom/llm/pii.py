@@ -96,16 +96,24 @@ _odd = re.compile("[" + "".join(re.escape(chr(c)) for c in _plain) + "]")
 
 # fixed values: spelled digits
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_FEW = tuple(w for w in SPELLED if w not in ("oh", "one"))
 _number = "(?:" + "|".join(SPELLED) + ")"
 _spelled = re.compile(rf"\b(?:plus[ -]+)?{_number}(?:[ ,.-]+(?:{_number}|[0-9]+)\b){{6,}}", re.I)
 _said = re.compile(rf"plus|{_number}|[0-9]+", re.I)
+_octet = rf"(?:{_number}(?:[ -]+{_number}){{0,2}}|[0-9]{{1,3}})"
+_spelled_ip = re.compile(rf"(?<!plus[ -])(?<![0-9.])\b{_octet}(?:(?: +dot +|\.){_octet}){{3}}(?![A-Za-z0-9])", re.I)
+# no octet begins within a longer run of numbers
+_run = re.compile(rf"(?:\b{_number}|[0-9])[ -]{{1,3}}$", re.I).search
+_point = re.compile(r" +dot +|\.", re.I)
 
 _bracket = re.compile(r"[ ]?[\[({<][ ]?(at|dot|punkt|point|punto|arroba)[ ]?[\])}>][ ]?", re.I)
-_worded = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+( +at +)[A-Za-z0-9-]+((?: +dot +[A-Za-z0-9-]+)+)(?![A-Za-z0-9-])", re.I)
+_worded = re.compile(r"(?<![A-Za-z0-9._%+-])(?=[._%+-]*[A-Za-z0-9])[A-Za-z0-9._%+-]+( +at +)[A-Za-z0-9-]+((?:(?: +dot +|\.)[A-Za-z0-9-]+)+)(?![A-Za-z0-9-])", re.I)
+# behind literal dots alone only a name counts as a domain: "at 10.30" is none
+_name = re.compile(r"[A-Za-z]{2,}|xn--[A-Za-z0-9-]+", re.I).fullmatch
 _worded_ip = re.compile(r"(?<![0-9])[0-9]{1,3}(?: +dot +[0-9]{1,3}){3}(?![0-9])", re.I)
-_mixed = re.compile(r"@[A-Za-z0-9-]+(?: +dot +[A-Za-z0-9-]+)+", re.I)
+_mixed = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?: +dot +[A-Za-z0-9-]+)(?:(?: +dot +|\.)[A-Za-z0-9-]+)*", re.I)
 _dot = re.compile(r" +dot +", re.I)
+# each of _bracket, _worded, _worded_ip and _mixed holds one of these
+_disguised = re.compile(r"[\[({<] ?(?:at|dot|punkt|point|punto|arroba) ?[\])}>]| (?:at|dot) ", re.I).search
 
 Edit = tuple[int, int, str]
 
@@ -145,6 +153,8 @@ def _disguises(tape: Tape) -> None:
     tape.rewrite([(m.start(), m.end(), "@" if m[1].lower() in ("at", "arroba") else ".") for m in _bracket.finditer(tape.text)])
     edits: list[Edit] = []
     for m in _worded.finditer(tape.text):
+        if not _dot.search(m[2]) and not _name(m[2].rpartition(".")[2]):
+            continue
         edits.append((m.start(1), m.end(1), "@"))
         edits += [(d.start(), d.end(), ".") for d in _dot.finditer(tape.text, m.start(2), m.end(2))]
     tape.rewrite(edits)
@@ -152,6 +162,22 @@ def _disguises(tape: Tape) -> None:
         tape.rewrite([(d.start(), d.end(), ".") for m in pattern.finditer(tape.text) for d in _dot.finditer(tape.text, m.start(), m.end())])
 
 
+def _octets(tape: Tape) -> None:
+    edits: list[Edit] = []
+    for m in _spelled_ip.finditer(tape.text):
+        if _run(tape.text[max(0, m.start() - 12) : m.start()]):
+            continue
+        parts, at = [], m.start()
+        for d in [*_point.finditer(tape.text, m.start(), m.end()), None]:
+            end = d.start() if d else m.end()
+            parts.append((at, end, "".join(SPELLED.get(w[0].lower(), w[0]) for w in _said.finditer(tape.text, at, end))))
+            at = d.end() if d else end
+        if all(_small(by) for _, _, by in parts):
+            for i, (a, b, by) in enumerate(parts):
+                edits += [(parts[i - 1][1], a, "."), (a, b, by)] if i else [(a, b, by)]
+    tape.rewrite(edits)
+
+
 def _digits(tape: Tape) -> None:
     edits: list[Edit] = []
     for m in _spelled.finditer(tape.text):
@@ -166,18 +192,14 @@ def _digits(tape: Tape) -> None:
 def all_spans(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
     """The base spans, and those with what the transducers uncover; by start, without repeats."""
     base = base_spans(text)
-    low = text.lower()
-    odd = _odd.search(text) is not None
-    disguised = "dot" in low or "at" in low and re.search(r"[\[({<] ?(?:at|arroba) ?[\])}>]", low) is not None
-    spelled = sum(w in low for w in _FEW) > 0
-    if not (odd or disguised or spelled):
-        return base, base
     tape = Tape(text)
-    if odd:
+    if _odd.search(text):
         _homoglyphs(tape)
-    if disguised or odd:
+    if _disguised(tape.text):
         _disguises(tape)
-    if spelled or odd:
+    low = tape.text.lower()
+    if any(w in low for w in SPELLED):
+        _octets(tape)
         _digits(tape)
     if tape.starts is None:
         return base, base

@@ -347,6 +347,19 @@ def test_pii_transducers():
         assert found(clean) == []
 
 
+def test_pii_disguises_alone():
+    cases = [("email", f"jane@firma {a}{w}{b} de") for w in ("dot", "punkt", "point", "punto") for a, b in ("[]", "()", "{}", "<>")]
+    cases += [("email", f"juan {a}{w}{b} correo.es") for w in ("at", "arroba") for a, b in ("[]", "()", "{}", "<>")]
+    cases += [("email", t) for t in ("juan (arroba) correo (punto) es", "jane.doe at example.com", "jane at site [dot] org", "jane at site dot org", "jane at site.co dot uk", "jane@site dot org")]
+    cases += [("ip", t) for t in ("192 dot 168 dot 1 dot 20", "one nine two dot one six eight dot zero dot one", "one nine two [dot] 168 [dot] one [dot] one", "one zero dot 1 dot 1 dot oh")]
+    cases += [("phone", "plus" + " one" * 10), ("phone", "plus one.five five five.one two three.four five six seven")]
+    for kind, text in cases:
+        assert (0, len(text)) in pii.all_spans(text)[1][kind], text
+    for clean in ("meet at 10.30", "look at it. one. two. three. four.", "one two three four dot five dot six dot seven", "one dot two dot three"):
+        assert not any(pii.all_spans(clean)[1].values()), clean
+    pii.all_spans("one " * 20_000 + "one dot " * 20_000 + "a at b." * 20_000)
+
+
 def test_pii_on_tables(spark):
     rows = [(1, None), (2, ""), (3, "x a@b.co y"), (3, "x a@b.co y"), (None, "1.2.3.4")]
     docs = spark.createDataFrame([(*r, "clash", 0) for r in rows], "doc_id long, text string, pii string, n_chars int")
