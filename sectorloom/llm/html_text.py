@@ -48,10 +48,11 @@ _tag = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+
 _loose_tag = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>").match
 _attribute = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?").findall
 _space = re.compile(r"[ \t\n\r\f]+").sub
-_rule = re.compile(r"([^{}]+)\{([^{}]*)\}").findall
-_gone = re.compile(r"display\s*:\s*none|content-visibility\s*:\s*hidden", re.I).search
+_css_token = re.compile(r"/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|<!--|-->|[{}]", re.S).finditer
+_display = re.compile(r"(?:^|;)\s*(display|content-visibility)\s*:\s*([\w-]+)[^;!]*(!\s*important)?", re.I).findall
 _visibility = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I).search
-_simple = re.compile(r"[.#]?[A-Za-z][\w-]*").fullmatch
+_compound = re.compile(r"(?:[A-Za-z][\w-]*)?(?:[.#][A-Za-z_-][\w-]*)*").fullmatch
+_simple = re.compile(r"[.#]?[\w-]+").findall
 
 
 @dataclass(slots=True)
@@ -69,10 +70,10 @@ def _attrs(s: str) -> dict[str, str]:
     return out
 
 
-def parse(source: str) -> tuple[Node, set[str]]:
-    """The tree, and the simple selectors that style sheets take out of display."""
+def parse(source: str) -> tuple[Node, Styles]:
+    """The tree, and the rules of its style sheets that set display."""
     root = Node("#root")
-    stack, hidden = [root], set()
+    stack, sheets = [root], []
     opened: Counter[str] = Counter()
     last_end, at, n = source.rfind(">"), 0, len(source)
 
@@ -152,11 +153,84 @@ def parse(source: str) -> tuple[Node, set[str]]:
             node.children.append(body)
             pop()
             at = n if end is None else source.find(">", end.start()) + 1 or n
-            if tag == "style":
-                for selectors, rules in _rule(body):
-                    if _gone(rules):
-                        hidden |= {s.strip() for s in selectors.split(",") if _simple(s.strip())}
-    return root, hidden
+            if tag == "style" and _on_screen(attrs.get("media", "")) and not opened["noscript"] and not opened["template"]:
+                sheets.append(body)
+    return root, _styles(sheets)
+
+
+def _on_screen(media: str) -> bool:
+    """Whether one of the media queries holds on any screen."""
+    return any(" ".join(q.split()).lower() in ("", "all", "screen", "only all", "only screen") for q in media.split(","))
+
+
+def _rules(css: str) -> list[tuple[str, str]]:
+    """(selectors, declarations) of the rules at top level or in unconditional @media blocks for screens, in order.
+
+    Braces in comments and quoted text don't count; blocks that are never closed end with the sheet.
+    """
+    out: list[tuple[str, str]] = []
+    opened: list[tuple[str, bool, list[str]]] = []  # of each open block the lead, whether it holds, and its declarations
+    now: list[str] = []
+    at = 0
+
+    def end() -> None:
+        lead, holds, own = opened.pop()
+        if holds and not lead.startswith("@"):
+            out.append((lead, "".join([*own, *now])))
+        now.clear()
+
+    for m in _css_token(css):
+        now.append(css[at : m.start()])
+        at, token = m.end(), m[0]
+        if token == "{":
+            before, semicolon, lead = "".join(now).rpartition(";")
+            lead = lead.strip()
+            now.clear()
+            holds = not opened or opened[-1][1] and opened[-1][0].startswith("@")
+            if opened:
+                opened[-1][2].append(before + semicolon)
+            if lead.startswith("@"):
+                holds = holds and re.match(r"@media\b", lead, re.I) is not None and _on_screen(lead[6:])
+            opened.append((lead, holds, []))
+        elif token == "}":
+            if opened:
+                end()
+            now.clear()
+        else:
+            now.append(" " if token.startswith(("/*", "<!--", "-->")) else token)
+    now.append(css[at:])
+    while opened:
+        end()
+    return out
+
+
+#: By one simple selector of each rule: (all its simple selectors, property, (important, specificity, place), whether it hides).
+Styles = dict[str, list[tuple[set[str], str, tuple, bool]]]
+
+
+def _hides(name: str, value: str) -> bool:
+    return value.lower() == ("none" if name.lower() == "display" else "hidden")
+
+
+def _styles(sheets: list[str]) -> Styles:
+    """The rules with selectors without combinators; empty if none hides."""
+    out: Styles = {}
+    hiding, place = False, 0
+    for css in sheets:
+        if "display" not in css.lower() and "content-visibility" not in css.lower():
+            continue
+        for selectors, declarations in _rules(css):
+            for name, value, important in _display(declarations):
+                place += 1
+                for selector in map(str.strip, selectors.split(",")):
+                    if not selector or not _compound(selector):
+                        continue
+                    parts = [x if x[0] in ".#" else x.lower() for x in _simple(selector)]
+                    weight = (sum(x[0] == "#" for x in parts), sum(x[0] == "." for x in parts), sum(x[0] not in ".#" for x in parts))
+                    hides = _hides(name, value)
+                    hiding |= hides
+                    out.setdefault(parts[-1], []).append((set(parts), name.lower(), (bool(important), 0, *weight, place), hides))
+    return out if hiding else {}
 
 
 def _floor(stack: list[Node], barrier) -> int:
@@ -235,20 +309,33 @@ def _table(rows: list[list[tuple[str, int]]]) -> list[str]:
     return out
 
 
-def _unseen(node: Node, hidden: set[str], parent: Node) -> bool:
+def _unseen(node: Node, styles: Styles, parent: Node) -> bool:
     a = node.attrs
     if node.tag in UNSEEN or "hidden" in a or node.tag == "dialog" and "open" not in a:
         return True
     if parent.tag == "details" and "open" not in parent.attrs and node.tag != "summary":
         return True
-    if a and (s := a.get("style")) and _gone(s):
-        return True
-    return bool(hidden) and (node.tag in hidden or "#" + a.get("id", "") in hidden or any("." + c in hidden for c in a.get("class", "").split()))
+    # of the rules that set a property the strongest one holds
+    best: dict[str, tuple[tuple, bool]] = {}
+    if styles:
+        own = {node.tag, *("." + c for c in a.get("class", "").split())}
+        if "id" in a:
+            own.add("#" + a["id"])
+        for x in own:
+            for needs, name, weight, hides in styles.get(x, ()):
+                if needs <= own and (name not in best or weight > best[name][0]):
+                    best[name] = weight, hides
+    if a and (s := a.get("style")):
+        for place, (name, value, important) in enumerate(_display(s)):
+            weight = (bool(important), 1, place)
+            if name.lower() not in best or weight > best[name.lower()][0]:
+                best[name.lower()] = weight, _hides(name, value)
+    return any(hides for _, hides in best.values())
 
 
 def render(source: str) -> str:
     """The visible text of an HTML source."""
-    root, hidden = parse(source)
+    root, styles = parse(source)
     flows = [_Flow()]
     tables: list[list[list[tuple[str, int]]]] = []
     lists: list[list] = []
@@ -273,7 +360,7 @@ def render(source: str) -> str:
             continue
         tag = node.tag
         if not leaving:
-            if _unseen(node, hidden, parent):
+            if _unseen(node, styles, parent):
                 continue
             v = _visibility(node.attrs["style"]) if "style" in node.attrs else None
             dark.append(dark[-1] if v is None else v[1].lower() != "visible")

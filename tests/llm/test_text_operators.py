@@ -151,6 +151,22 @@ def test_html():
     assert html_text.render("&lt;b&gt; &eacute;") == "<b> é"
 
 
+def test_html_style_rules():
+    def shown(css, attrs="class=x", lead=""):
+        return html_text.render(f"{lead}<style>{css}</style><div {attrs}>in</div>out") == "in\nout"
+
+    seen = ["@media print{.x{display:none}}", "@media screen and (max-width:9em){.x{display:none}}", "@supports (display:grid){.x{display:none}}", "/* .x{display:none} */", ".x{display:none}.x{display:block}"]
+    seen += [".x{display:none} div.x{display:block}", ".x{/*}*/color:red} @media print{a{b:c} .x{display:none}}", "@import 'a{b';@media print{.x{display:none}}", ".x{display:none!important}.x{display:flex!important}", ".y .x{display:none}", ".x{--display:none}"]
+    for css in seen:
+        assert shown(css), css
+    unseen = [".x{display:none}", "@media screen{.x{display:none}}", "@media print, all{.x{color:red;display:none}}", "@media screen{@media only screen{.x{display:none}}}", ".x{display:block}.x{display:none}", ".x{display:none}div{display:block}", ".x{display:none!important}.x{display:block}", "@media print{.x{display:block}} .x{display : NONE", ".x{display:none; &:hover{color:red}}", "/*{*/.x{content:'}';display:none}", "@charset 'u';.x{display:none}", "<!-- .x{display:none} -->"]
+    for css in unseen:
+        assert not shown(css), css
+    assert shown(".x{display:none}", "class=x style='display:block'") and not shown(".x{display:none!important}", "class=x style='display:block'")
+    assert shown(".x{display:none} #i{display:block}", "class=x id=i") and not shown("", "style='color:red; display:none'")
+    assert shown("", "class=x", "<style media=print>.x{display:none}</style>") and shown("", "class=x", "<noscript><style>.x{display:none}</style></noscript>")
+
+
 def test_html_on_tables(spark):
     rows = [(1, "<p>a", "old"), (2, None, "old"), (None, "", "old"), (1, "<p>a", "old")]
     got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, html string, text string")).collect()
