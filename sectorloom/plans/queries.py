@@ -109,6 +109,16 @@ def zero_chunk_detect(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", S.all_zero(made, CHUNK).alias("zero"))
 
 
+@query(_SQL_CHUNKS + """SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, hx = substr(repeat(rpad(substr(hx, 1, 16), 16, '0'), 64), 1, length(hx)) AS repeats FROM c""")
+def pattern_fill_chunks(spark, sf_dir):
+    return _chunks(spark, sf_dir).select("doc_id", "chunk_index", S.repeats_pattern(F.col("data")).alias("repeats"))
+
+
+@query(_SQL_CHUNKS + """SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, hx = repeat('0', 1024) AS zero FROM c""")
+def zero_fill_chunks(spark, sf_dir):
+    return _chunks(spark, sf_dir).select("doc_id", "chunk_index", S.all_zero(F.col("data"), CHUNK).alias("zero"))
+
+
 @query("""SELECT p_partkey, p_size * 512 AS chunk, p_size * 512 + 4 AS raw_cap,
 greatest(p_size * 512 + ((p_size * 512) >> 12) + ((p_size * 512) >> 14) + ((p_size * 512) >> 25) + 13, p_size * 512 + p_size * 5 + 6) AS zlib_cap,
 p_size * 512 + (p_size * 512) // 100 + 4096 AS bzip2_cap FROM (SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size FROM part)""")
@@ -269,6 +279,17 @@ def at_most_one_conflicts(spark, sf_dir):
     return catalog.at_most_one(rows, ["source", "lang"], "v")
 
 
+@query("""SELECT source, lang, min(doc_id) AS first_doc FROM documents GROUP BY source, lang""")
+def first_wins_whole(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").select("source", "lang", "doc_id", F.col("doc_id").alias("first_doc"))
+    return catalog.first_wins(rows, ["source", "lang"], "first_doc", ["doc_id"])
+
+
+@query("""SELECT source, lang, count(doc_id) AS n_values FROM documents GROUP BY source, lang HAVING count(doc_id) > 1""")
+def at_most_one_whole(spark, sf_dir):
+    return catalog.at_most_one(_table(spark, sf_dir, "documents").select("source", "lang", "doc_id"), ["source", "lang"], "doc_id")
+
+
 @query("""SELECT user_id, arg_max(event_type, row(ts, event_id)) <> 'error' AS complete FROM events GROUP BY user_id""")
 def acquisition_complete(spark, sf_dir):
     rows = _table(spark, sf_dir, "events").withColumn("kind", F.when(F.col("event_type") == "error", "next").otherwise(F.col("event_type")))
