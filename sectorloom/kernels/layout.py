@@ -72,7 +72,8 @@ class Segment:
     headers: dict[str, str] = field(default_factory=dict)
     hashes: dict[str, str] = field(default_factory=dict)
     errors: list[tuple[int, int]] = field(default_factory=list)
-    session_entries: list[tuple[int, int]] = field(default_factory=list)
+    session_tables: list[list[tuple[int, int]]] = field(default_factory=list)  # (start, flags) of each table
+    memory_extents: list[tuple[int, int]] = field(default_factory=list)
     smart: bool = False
     catalog: Catalog | None = None
 
@@ -201,7 +202,7 @@ def parse1(read: Read, length: int, first_chunk: int = 0, geometry: Segment | No
         elif s.kind == "error2":
             out.errors += _pairs(data(), 520, 8, "<II", "error2")
         elif s.kind == "session":
-            out.session_entries += [(start, flags) for flags, start in _pairs(data(), 36, 32, "<II", "session")]
+            out.session_tables.append([(start, flags) for flags, start in _pairs(data(), 36, 32, "<II", "session")])
     geometry = geometry or out
     if not geometry.chunk_size:
         raise Malformed("no volume section")
@@ -211,12 +212,13 @@ def parse1(read: Read, length: int, first_chunk: int = 0, geometry: Segment | No
     return out
 
 
-def _pairs(d: bytes, header: int, size: int, layout: str, what: str) -> list[tuple[int, int]]:
-    """Entries of an error or session table, behind a checked header and before a checked footer."""
+def _pairs(d: bytes, header: int, size: int, layout: str, what: str, summed: int = 0) -> list[tuple[int, int]]:
+    """Entries of an error or session table, behind a header whose first ``summed`` bytes are checked and before a checked footer."""
+    summed = summed or header - 4
     if len(d) < header:
         raise Malformed(f"{what} table is too short")
     n = struct.unpack_from("<I", d, 0)[0]
-    check(struct.unpack_from("<I", d, header - 4)[0], d[: header - 4], f"{what} header")
+    check(struct.unpack_from("<I", d, summed)[0], d[:summed], f"{what} header")
     if header + n * size > len(d):
         raise Malformed(f"{what} entries exceed the section")
     if len(d) >= header + n * size + 4:
@@ -224,6 +226,30 @@ def _pairs(d: bytes, header: int, size: int, layout: str, what: str) -> list[tup
     return [struct.unpack_from(layout, d, header + i * size) for i in range(n)]
 
 
+def session_ranges(entries: list[tuple[int, int]], total: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(first_sector, sector_count) of the sessions and of the audio tracks of one table; the first entry only seeds."""
+    sessions: list[tuple[int, int]] = []
+    tracks: list[tuple[int, int]] = []
+    if not entries:
+        return sessions, tracks
+    session = track = 0
+    (before, flags), audio = entries[0], False
+    for start, now in entries[1:]:
+        if start < before:
+            raise Malformed("session start sector moves backwards")
+        if not now & 1:
+            sessions.append((session, start - session))
+            session = start
+        if flags & 1:
+            tracks.append((track, start - track))
+            track = start
+        before, flags, audio = start, now, bool(now & 1)
+    sessions.append((session, max(0, total - session)))
+    if audio:
+        tracks.append((track, max(0, total - track)))
+    return sessions, tracks
+
+
 def _ranges1(read: Read, sections: list[Section], first_chunk: int) -> Iterator[Range]:
     data_sections = [s for s in sections if s.kind == "sectors"]
     chunk, prior = first_chunk, None
@@ -367,9 +393,14 @@ def parse2(read: Read, length: int) -> Segment:
         elif s.kind == "single_files_data":
             out.catalog = _once(out.catalog, parse_catalog(_plain2(data())))
         elif s.kind == "error_table":
-            out.errors += _pairs(data(), 32, 16, "<QI", "error")
+            out.errors += _pairs(data(), 32, 16, "<QI", "error", 16)
         elif s.kind == "session_table":
-            out.session_entries += _pairs(data(), 32, 32, "<QI", "session")
+            out.session_tables.append(_pairs(data(), 32, 32, "<QI", "session", 16))
+        elif s.kind == "memory_extents_table":
+            d = data()
+            if len(d) % 16:
+                raise Malformed("memory extents table has a partial entry")
+            out.memory_extents += struct.iter_unpack("<QQ", d)
         elif s.kind == "sector_table":
             d = data()
             if len(d) < 32:

@@ -2,7 +2,7 @@
 
 Planning walks sections and tables only; chunk tables are read in slices of ``SLICE`` chunks, one to a
 task, each fetching its own bytes. Tables: images, segments, sections, table_ranges, header_values,
-hash_values, acquisition_errors, encoded_chunks, chunks.
+hash_values, acquisition_errors, sessions, tracks, memory_extents, encoded_chunks, chunks.
 """
 
 from __future__ import annotations
@@ -40,6 +40,9 @@ SCHEMAS = {
     "header_values": "image_id string, identifier string, value string",
     "hash_values": "image_id string, identifier string, value string",
     "acquisition_errors": "image_id string, ordinal int, first_sector bigint, sector_count bigint",
+    "sessions": "image_id string, ordinal int, first_sector bigint, sector_count bigint",
+    "tracks": "image_id string, ordinal int, first_sector bigint, sector_count bigint",
+    "memory_extents": "image_id string, ordinal int, start_page bigint, page_count bigint",
     "catalogs": "image_id string, data_size bigint",
     "file_entries": _columns("image_id string, entry_key int, parent_key int, depth int, child_ordinal int", _ENTRY),
     "file_extents": "image_id string, entry_key int, extent_ordinal int, data_offset bigint, data_size bigint, sparse boolean",
@@ -110,6 +113,14 @@ class Image:
         self.hashes: dict[str, str] = {}
         for s in self.segments:
             self.hashes = s.hashes | self.hashes
+        self.sessions: list[tuple[int, int]] = []
+        self.tracks: list[tuple[int, int]] = []
+        for s in self.segments:
+            for entries in s.session_tables:
+                sessions, tracks = L.session_ranges(entries, s.sector_count or head.sector_count)
+                self.sessions += sessions
+                self.tracks += tracks
+        self.memory_extents = [x for s in self.segments for x in s.memory_extents]
         catalogs = [s.catalog for s in self.segments if s.catalog]
         if len(catalogs) > 1:
             raise Malformed("a second catalog")
@@ -164,6 +175,10 @@ class EwfReader(DataSourceReader):
                 yield from self._catalog(m.image_id, m.catalog)
         elif self.table == "acquisition_errors":
             yield from ((k, i, a, n) for i, (a, n) in enumerate(head.errors))
+        elif self.table in ("sessions", "tracks"):
+            yield from ((k, i, a, n) for i, (a, n) in enumerate(m.sessions if self.table == "sessions" else m.tracks))
+        elif self.table == "memory_extents":
+            yield from ((k, i, a, n) for i, (a, n) in enumerate(m.memory_extents))
 
     def _catalog(self, k: str, c: Catalog) -> Iterator[tuple]:
         from decimal import Decimal

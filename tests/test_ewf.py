@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import struct
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,3 +100,57 @@ def test_segment_names():
     assert build.segment_name("x", "Lx01", 776) == "x.LyAA"
     with pytest.raises(ValueError):
         build.segment_name("x", "E01", 99 + 676 * 22 + 1)
+
+
+def summed(d: bytes) -> bytes:
+    return d + struct.pack("<I", zlib.adler32(d))
+
+
+def with_sections(path: str, sections: list[tuple[int, str, bytes]], second: bool) -> None:
+    """Puts sections before the last one of a segment."""
+    whole = open(path, "rb").read()
+    size = 64 if second else 76
+    out, last = whole[:-size], whole[-size:]
+    previous = struct.unpack_from("<Q", last, 8)[0]
+    for code, kind, data in sections:
+        if second:
+            out += data
+            d = struct.pack("<IIQQII16s", code, 0, previous, len(data), 64, 0, bytes(16)) + bytes(12)
+            previous, out = len(out), out + summed(d[:60])
+        else:
+            out += summed(kind.encode().ljust(16, b"\0") + struct.pack("<QQ", len(out) + 76 + len(data), 76 + len(data)) + bytes(40)) + data
+    if second:
+        out += summed(last[:8] + struct.pack("<Q", previous) + last[16:60])
+    else:
+        out += summed(last[:16] + struct.pack("<QQ", len(out), 76) + bytes(40))
+    open(path, "wb").write(out)
+
+
+@pytest.mark.parametrize("format", ["E01", "Ex01"])
+def test_sessions_tracks_and_memory(spark, tmp_path, format):
+    data = bytes(64 * 512)
+    (path,) = write_ewf(chunk_rows(spark, data), str(tmp_path / "a"), len(data), build.Options(format, 8, 512))
+    second = format == "Ex01"
+    entries = [(0, 0), (0, 1), (4, 0), (4, 1)]
+    rows = b"".join(struct.pack("<QI20x", s, f) if second else struct.pack("<II24x", f, s) for s, f in entries)
+    if second:
+        table = summed(struct.pack("<I12x", 4)) + bytes(12) + summed(rows) + bytes(12)
+        error = summed(struct.pack("<I12x", 1)) + bytes(12) + summed(struct.pack("<QII", 9, 2, 0)) + bytes(12)
+        memory = struct.pack("<4Q", 0x1000, 7, 0x2000, 11)
+        with_sections(path, [(0x06, "", table), (0x0C, "", memory), (0x05, "", error)], True)
+    else:
+        with_sections(path, [(0, "session", summed(struct.pack("<I28x", 4)) + summed(rows))], False)
+    got = lambda t: [tuple(r)[1:] for r in read_ewf(spark, path, t).orderBy("ordinal").collect()]
+    assert got("sessions") == got("tracks") == [(0, 0, 4), (1, 4, 60)]
+    assert got("memory_extents") == ([(0, 0x1000, 7), (1, 0x2000, 11)] if second else [])
+    assert got("acquisition_errors") == ([(0, 9, 2)] if second else [])
+
+
+def test_session_rules():
+    from sectorloom.kernels.layout import session_ranges
+
+    assert session_ranges([], 64) == ([], [])
+    assert session_ranges([(5, 1)], 64) == ([(0, 64)], [])
+    assert session_ranges([(0, 0), (32, 0)], 64) == ([(0, 32), (32, 32)], [])
+    with pytest.raises(Malformed, match="backwards"):
+        session_ranges([(4, 0), (3, 0)], 64)
