@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Levels of a tree from one written table to the next.
+LEVELS = 4
+
 
 def entry_sources(entries: DataFrame, sources: DataFrame, ref: str, index: str) -> DataFrame:
     """Entries joined to the source at their position; a reference below 1 or beyond the list gives nulls."""
@@ -18,20 +24,44 @@ def entry_subjects(entries: DataFrame, subjects: DataFrame, ref: str, identifier
     return entries.join(first, F.col(ref) == F.col(identifier), "left")
 
 
-def paths(entries: DataFrame, key: str, parent: str, name: str, separator: str = "\t", deepest: int = 64) -> DataFrame:
+def _folder(spark: SparkSession) -> str:
+    """A new folder in the one that spark.checkpoint.dir names, or a temporary one where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sectorloom-")
+    return f"{found.rstrip('/')}/sectorloom-{uuid.uuid4().hex}"
+
+
+def paths(entries: DataFrame, key: str, parent: str, name: str, separator: str = "\t") -> DataFrame:
     """(key, path, depth): names from the root joined by the separator; ``parent`` null marks roots.
 
-    Level by level, as deep as the tree is; a cycle reaches no root and is left out.
+    Level by level, as deep as the tree is; a cycle reaches no root and is left out, and one that does, by a
+    repeated key, is an error. Tables written every few levels cut the lineage.
     """
+    spark = entries.sparkSession
     level = entries.where(F.col(parent).isNull()).select(F.col(key).alias("entry"), F.col(name).alias("path"), F.lit(0).alias("depth"))
     rest = entries.select(F.col(key).alias("entry"), F.col(parent).alias("up"), F.col(name).alias("own")).where("up is not null")
-    out = level
-    for depth in range(1, deepest + 1):
+    pending, written, folder, most, depth = [level], [], "", 0, 0
+    while True:
+        depth += 1
         above = level.select(F.col("entry").alias("up"), F.col("path").alias("lead"))
         level = rest.join(above, "up").select("entry", F.concat_ws(separator, "lead", "own").alias("path"), F.lit(depth).alias("depth"))
         if level.isEmpty():
             break
-        out = out.unionByName(level)
+        pending.append(level)
+        if depth % LEVELS == 0:
+            if not written:
+                folder, most = _folder(spark), entries.count()
+            if depth > most:
+                raise ValueError("a cycle is reached from a root: a key is repeated")
+            written.append(f"{folder}/{depth}")
+            _union(pending).write.parquet(written[-1])
+            level, pending = spark.read.schema(level.schema).parquet(written[-1]).where(F.col("depth") == depth), []
+    return _union([*([spark.read.schema(level.schema).parquet(*written)] if written else []), *pending])
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 

@@ -62,3 +62,13 @@ def test_files_in_a_container(spark, tmp_path, format):
     assert named[2].split("\t")[-2:] == ["docs", "a.txt"]
     files = {r["entry_key"]: bytes(r["data"]) for r in read_files(entries, read_ewf(spark, path, "file_extents"), read_ewf(spark, path), 1024).collect()}
     assert files == {0: b"", 1: b"", 2: data[1000:1060] + bytes(4) + data[5:8], 3: b""}
+
+
+def test_paths_below_64_levels(spark):
+    from sectorloom.operators.catalog import paths
+
+    rows = [(i, i - 1 if i else None, f"n{i}") for i in range(71)] + [(100, 101, "a"), (101, 100, "b"), (200, 70, "leaf")]
+    got = {r["entry"]: (r["path"], r["depth"]) for r in paths(spark.createDataFrame(rows, "k long, up long, name string").coalesce(1), "k", "up", "name", "/").collect()}
+    assert got == {i: ("/".join(f"n{j}" for j in range(i + 1)), i) for i in range(71)} | {200: ("/".join(f"n{j}" for j in range(71)) + "/leaf", 71)}
+    with pytest.raises(ValueError, match="cycle"):
+        paths(spark.createDataFrame([(1, None, "a"), (1, 2, "b"), (2, 1, "c")], "k long, up long, name string").coalesce(1), "k", "up", "name")
