@@ -25,7 +25,7 @@ BLOCK_DOCS = 256
 #: Blocks of a source at most: the draws' cost is bounded, and blocks grow beyond.
 MOST_BLOCKS = 1024
 SHARDS = 16
-PARTS = "array<struct<shard:int,block:bigint,pass:bigint,words:bigint,rank:int>>"
+PARTS = "array<struct<shard:int,block:bigint,pass:bigint,words:bigint,rank:int,place:bigint>>"
 
 
 def word_count(text: Column) -> Column:
@@ -145,8 +145,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 
     size: words of the text (null: 0). taken: the words that the mix takes of the document, repeats
     counted, at most ``most`` times size; a source's sum is its target, rounded to a whole word. parts:
-    an array of (shard, block, pass, words, rank): which output shard takes how many words of it, and its
-    place within that shard's block. A null source is a source of its own, last in order. Repeated rows
+    an array of (shard, block, pass, words, rank, place): which output shard takes how many words of it, its
+    rank within that shard's block, and the seeded hash that orders the whole shard, in each pass anew. A null source is a source of its own, last in order. Repeated rows
     count each time; a null doc_id is an id like others. Other columns pass through, except that one
     named ``mix`` is replaced. Empty tables give empty results.
     """
@@ -198,12 +198,27 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     part = F.least(F.greatest(F.coalesce("last_words", F.lit(0)) - F.col("begins"), F.lit(0)), F.col("size"))
     rows = rows.withColumn("part", part)
     words = lambda d: F.when(d["pass"] < F.col("passes"), F.col("size")).otherwise(F.col("part"))
-    parts = F.filter(F.transform("draws", lambda d: F.struct(d["shard"].alias("shard"), F.col("block").alias("block"), d["pass"].alias("pass"), words(d).alias("words"), F.col("rank").alias("rank"))), lambda d: d["words"] > 0)
+    parts = F.filter(F.transform("draws", lambda d: F.struct(d["shard"].alias("shard"), F.col("block").alias("block"), d["pass"].alias("pass"), words(d).alias("words"), F.col("rank").alias("rank"), _seeded(seed + 5, "rid", d["shard"], d["pass"]).alias("place"))), lambda d: d["words"] > 0)
     mix = F.struct("size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("part")).alias("taken"), F.coalesce(parts, F.array().cast(PARTS)).alias("parts"))
     return rows.select("own.*", mix.alias("mix"))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: a row for each document and pass that takes words of it, with the columns of docs. Documents stay whole."""
+    return _parts(docs, **options).select(*_kept(docs))
+
+
+def shard_rows(docs: DataFrame, **options) -> DataFrame:
+    """The mix laid out: as ``mixed_rows``, with shard and place; each shard lies in one partition, in its order."""
+    rows = _parts(docs, **options)
+    laid = rows.select(*[c for c in _kept(docs) if c not in ("shard", "place")], "part.shard", "part.place", F.col("part.rank").alias("__rank"))
+    return laid.repartition("shard").sortWithinPartitions("shard", "place", "__rank").drop("__rank")
+
+
+def _kept(docs: DataFrame) -> list[str]:
+    return [c for c in docs.columns if c not in ("mix", "part")]
+
+
+def _parts(docs: DataFrame, **options) -> DataFrame:
     mixed = mix_sources(docs, **options)
-    return mixed.select(*[c for c in docs.columns if c != "mix"], F.explode("mix.parts").alias("part")).drop("part")
+    return mixed.select(*_kept(docs), F.explode("mix.parts").alias("part"))

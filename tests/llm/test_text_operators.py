@@ -326,6 +326,23 @@ def test_splitting_tree(spark):
     assert len(tops) > 1
 
 
+def test_mixing_orders_whole_shards(spark):
+    docs = make(spark, [(i, "w " * (1 + i % 7), "en", "abc"[i % 3], 0) for i in range(1500)])
+    rows = mixing.shard_rows(docs, shards=3).withColumn("partition", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()).collect()
+    assert collections.Counter(r["doc_id"] for r in rows) == collections.Counter(r["doc_id"] for r in mixing.mixed_rows(docs, shards=3).collect())
+    orders, changes, at_random = [], 0, 0.0
+    for shard in range(3):
+        own = sorted((r for r in rows if r["shard"] == shard), key=lambda r: r["at"])
+        assert len({r["partition"] for r in own}) == 1 and [r["place"] for r in own] == sorted(r["place"] for r in own)
+        sources = [r["source"] for r in own]
+        changes += sum(a != b for a, b in itertools.pairwise(sources))
+        at_random += len(own) - sum(n * n for n in collections.Counter(sources).values()) / len(own)
+        orders.append([r["place"] for r in own])
+    assert len({tuple(o[:5]) for o in orders}) == 3
+    # sources change about as often as in a random order, rather than standing in runs
+    assert changes >= 0.9 * at_random
+
+
 def brute_pii(text):
     rules = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     out = {}
