@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +33,8 @@ LONGEST = 24
 LANDMARKS = 160
 #: Labelled documents of each class that training reads at most, those with the smallest hashes of their id.
 SAMPLE = 1500
+#: Weight in training of a word like no landmark; all other words weigh 1 together.
+UNLIKE = 0.1
 #: Words whose scores a task remembers at once.
 REMEMBERED = 300_000
 EDGES = ".,;:!?\"'()[]{}<>%*$&#|-_~…«»“”„"
@@ -69,10 +71,10 @@ def words_of(text: str) -> set[str]:
 
 
 def _pieces(word: str) -> list[str]:
+    """The word, and without the marks put between its letters if there are any; in overlapping pieces if it is long."""
     word = word.strip(EDGES)
-    if len(word) <= LONGEST:
-        return [word]
-    return [word[i : i + LONGEST] for i in range(0, len(word) - LONGEST // 2, LONGEST // 2)]
+    forms = [word] if word.isalnum() else [word, "".join(filter(str.isalnum, word))]
+    return [p for w in forms for p in ([w] if len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w) - LONGEST // 2, LONGEST // 2)])]
 
 
 def _matrix(words: list[str]) -> np.ndarray:
@@ -204,6 +206,10 @@ class Model:
         np.maximum.at(out, of, weighted(pieces, self.table) + self.bias)
         return out
 
+    def worst(self, bags: Iterable[Iterable[str]], known: dict[str, float]) -> np.ndarray:
+        """The decision value of each document's worst word; of no words, that of a word like no landmark."""
+        return np.array([max(map(known.__getitem__, b), default=self.bias) for b in bags])
+
     def probability(self, worst: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -30, 30)))
 
@@ -275,11 +281,14 @@ def train(texts: list[str], toxic: list[int], share: float, rounds: int = 3, see
                 np.full(len(usual_minus), 0.2 / max(1, len(usual_minus))),
             ]
         )
-        w, b = svm(marks.kernel([x[:LONGEST] for x in own]) @ root, label, weight)
+        features = marks.kernel([x[:LONGEST] for x in own]) @ root
+        # a word like no landmark has no features and is no insult: it holds the bias down
+        w, b = svm(np.vstack([features, np.zeros(features.shape[1])]), np.append(label, -1), np.append(weight, UNLIKE))
         model = Model(marks.table(root @ w), b, 1.0, 0.0)
         score = model.words(words)
     rest = [i for i in range(len(bags)) if not fit[i]] or list(range(len(bags)))
-    worst = np.array([model.words(bags[i]).max() if bags[i] else model.bias for i in rest])
+    held = sorted({w for i in rest for w in bags[i]})
+    worst = model.worst((bags[i] for i in rest), dict(zip(held, model.words(held).tolist(), strict=True)))
     model.slope, model.shift = _platt(worst, y[rest], min(max(share, 1e-4), 1 - 1e-4))
     return model
 
@@ -323,8 +332,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
             new = list(set().union(*bags))
         if new:
             known.update(zip(new, model.words(new).tolist(), strict=True))
-        worst = np.array([max(map(known.__getitem__, b), default=model.bias) for b in bags])
-        return pa.array(model.probability(np.maximum(worst, model.bias)))
+        return pa.array(model.probability(model.worst(bags, known)))
 
     known: dict[str, float] = {}
     return docs.drop("toxicity").withColumn("toxicity", F.arrow_udf(run, "double")(F.coalesce(F.col("text").cast("string"), F.lit(""))))

@@ -227,28 +227,52 @@ def test_fisher_yates():
     assert list(sharding.fisher_yates(0, 1)) == []
 
 
-def test_toxicity():
+@pytest.fixture(scope="module")
+def insults():
+    """A model of a small corpus, with texts and labels it hasn't seen."""
     rng = random.Random(8)
     clean = lambda: " ".join(rng.choice(["thing", "under", "other", "ration", "likely", "onward"]) + rng.choice(["", "s", "er", "ly"]) for _ in range(60))
-    bad = ["stupid", "idiot", "scumbag", "worthless"]
     texts, labels = [], []
     for i in range(240):
         t = clean().split()
         if i % 4 == 0:
-            t[rng.randrange(60)] = rng.choice(bad)
+            t[rng.randrange(60)] = rng.choice(["stupid", "idiot", "scumbag", "worthless"])
         texts.append(" ".join(t))
         labels.append(int(i % 4 == 0))
-    model = toxicity.train(texts[:180], labels[:180], 0.25)
-    score = lambda t: float(model.probability(np.array([model.words(sorted(toxicity.words_of(t))).max()]))[0])
-    held = [(score(t) >= 0.3, k) for t, k in zip(texts[180:], labels[180:], strict=True)]
-    assert sum(a != bool(b) for a, b in held) <= 2
-    assert score(clean() + " i d i o t") > 0.3
-    assert score(clean() + " stuppid") > 0.3
-    assert score(clean()) < 0.3
+    return toxicity.train(texts[:180], labels[:180], 0.25), texts[180:], labels[180:]
+
+
+def toxicities(spark, model, texts):
+    got = toxicity.score_toxicity(make(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)]), model)
+    return [r["toxicity"] for r in got.orderBy("doc_id").collect()]
+
+
+def test_toxicity(spark, insults):
+    model, texts, labels = insults
+    clean = texts[1]
+    held = [(s >= 0.3) != bool(k) for s, k in zip(toxicities(spark, model, texts), labels, strict=True)]
+    assert sum(held) <= 2
+    assert all(s >= 0.3 for s in toxicities(spark, model, [f"{clean} {w}" for w in ("i d i o t", "stuppid", "i-d-i-o-t", "st*upid", "Idi0t!", "s_t_u_p_i_d")]))
+    assert all(s < 0.3 for s in toxicities(spark, model, [clean, None, "", " \n ", "12 34", "a to of", "\u0447\u0442\u043e", "\u4f60\u597d", clean * 300]))
     only = toxicity.train(["a"], [0], 0.0)
     assert only.table is None and 0 <= only.probability(np.zeros(1))[0] < 0.01
 
 
+def test_toxicity_of_a_document_is_that_of_its_worst_word(spark, insults):
+    model, texts, _ = insults
+    texts = [*texts[:12], "", None, "an idiot's st-u-pid, worthlessssss" + "x" * 40 + " " + texts[0]]
+    alone = [[float(model.words([w])[0]) for w in toxicity.words_of(t or "")] for t in texts]
+    brute = [1 / (1 + math.exp(-(model.slope * max(a, default=model.bias) + model.shift))) for a in alone]
+    assert np.allclose(toxicities(spark, model, texts), brute, atol=1e-6)
+
+
+def test_toxicity_on_an_empty_table_and_clashing_names(spark, insults):
+    assert toxicities(spark, insults[0], []) == []
+    docs = spark.createDataFrame([(1, "stupid idiot", "mine", 5)], "doc_id long, text string, toxicity string, known int")
+    (row,) = toxicity.score_toxicity(docs, insults[0]).collect()
+    assert row["toxicity"] > 0.3 and row["known"] == 5
+
+
 def test_kernel_matches_its_definition():
     def brute(s, t):
         def phi(w):
