@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -78,8 +79,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(_SPACE_BYTES)] = True
-_RADIX = 0x9E3779B97F4A7C15
 _U = np.uint64
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 32
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -89,36 +92,31 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, _U(base), dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-_pow_cache: dict[str, np.ndarray] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _pow_cache.get("up")
-    if have is None or len(have) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        _pow_cache["up"] = _powers(size, _RADIX)
-        _pow_cache["down"] = _powers(size, pow(_RADIX, -1, 1 << 64))
-    return _pow_cache["up"], _pow_cache["down"]
-
-
 def _piece_words(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and hash of each run of non-space bytes."""
-    flag = np.empty(len(b) + 2, np.int8)
-    flag[0] = flag[-1] = 0
+    """Start, end and hash of each run of non-space bytes.
+
+    A hash takes in a word's length and its bytes, eight at a time, with a full mix after each; that of a
+    long word is a keyless BLAKE2b.
+    """
+    flag = np.zeros(len(b) + 2, np.int8)
     flag[1:-1] = ~_IS_SPACE[b]
     step = np.diff(flag)
     start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    up, down = _power_tables(len(b) + 1)
-    total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + _U(1)) * up[: len(b)], out=total[1:], dtype=np.uint64)
-    h = (total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)
-    return start, end, mix64(h)
+    size = end - start
+    padded = np.zeros(len(b) + 8, np.uint8)
+    padded[: len(b)] = b
+    lanes = np.ndarray(len(b) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each position on
+    h = mix64(size.astype(np.uint64))
+    long = size > LONG_WORD
+    at = np.flatnonzero(~long)
+    for i in range(0, LONG_WORD, 8):
+        at = at[size[at] > i]
+        if not len(at):
+            break
+        h[at] = mix64((h[at] * _U(0x9E3779B97F4A7C15)) ^ (lanes[start[at] + i] & _TAIL[np.minimum(size[at] - i, 8)]))
+    for i in np.flatnonzero(long):
+        h[i] = int.from_bytes(hashlib.blake2b(b[start[i] : end[i]], digest_size=8).digest(), "little")
+    return start, end, h
 
 
 def word_hashes(data: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
