@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectorloom.llm.common import bounded_batches, shared_dir, shuffle_partitions, text_column
+from sectorloom.llm.common import bounded_batches, lean, shared_dir, shuffle_partitions, text_column
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: A block ends at so many distinct words or so many characters.
@@ -228,11 +228,11 @@ def bpe_encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     bounded_batches(spark)
     parts, name = shuffle_partitions(spark), f"sectorloom_{uuid.uuid4().hex}"
     docs = text_column(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    blocks = docs.mapInArrow(_blocks(parts), BLOCKS)
+    blocks = docs.mapInArrow(lean(_blocks(parts)), BLOCKS)
     blocks.write.bucketBy(parts, "block").option("path", f"{shared_dir(spark).rstrip('/')}/{name}").option("compression", "zstd").saveAsTable(name)
     blocks = spark.table(name)
     words = blocks.where("bucket is not null").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    words = words.mapInArrow(_encode_words(vocabulary), BLOCKS).select("block", "payload")
+    words = words.mapInArrow(lean(_encode_words(vocabulary)), BLOCKS).select("block", "payload")
     own = blocks.where("bucket is null").select("block", "doc_ids", "payload")
     return words.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids array<int>")
 
@@ -254,4 +254,4 @@ def bpe_decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     schema = encoded.select(*[f.name for f in rest]).schema.add("decoded", "binary")
-    return encoded.select(*[f.name for f in rest]).mapInArrow(run, schema)
+    return encoded.select(*[f.name for f in rest]).mapInArrow(lean(run), schema)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+import gc
 import hashlib
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +36,40 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """The same function of a task's batches, whose worker gives back at its end what it doesn't use.
+
+    A worker serves one task after another; without this its peaks would add up over the stages of a job.
+    """
+
+    @wraps(run)
+    def task(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
+def release() -> None:
+    """Hands freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(ctypes.util.find_library("c"))
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, a temporary one, which only a local master can share."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sectorloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

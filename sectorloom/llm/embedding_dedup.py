@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectorloom.llm.common import Scratch, bounded_batches, mix64, shuffle_partitions
+from sectorloom.llm.common import Scratch, bounded_batches, lean, mix64, shuffle_partitions
 from sectorloom.llm.components import components
 
-#: Tables, neighbouring cells probed in each, and the projections' scale: at a cosine of 0.95 a table joins two vectors with a chance of 0.8.
+#: Tables, neighbouring cells probed in each, and the projections' scale: at a cosine of 0.95 they join over 0.99 of all pairs.
 TABLES = 4
-PROBES = 4
-SCALE = 1.1
+PROBES = 2
+SCALE = 1.5
 #: Vectors in a tile; a larger cell is compared tile by tile.
 TILE = 2048
 SEED = 43
@@ -74,8 +74,8 @@ def cells(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, scale: f
     return np.concatenate(out, axis=1).view(np.int64)
 
 
-def _vectors(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(b, np.float64) for b in column.to_pylist()]
+def _vectors(column: pa.Array, kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(b, kind).astype(np.float64) for b in column.to_pylist()]
 
 
 def _unit_groups(vectors: list[np.ndarray]):
@@ -87,23 +87,28 @@ def _unit_groups(vectors: list[np.ndarray]):
         yield at, x / np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(axis=1, keepdims=True)
 
 
-def _packed(batches):
-    """(vec_id, embedding array<double>) -> (vec_id, vector binary), null for vectors that link with nothing."""
-    for batch in batches:
-        out = []
-        for x in batch.column(1):
-            ok = x.is_valid and len(x.values) > 0 and not x.values.null_count
-            v = x.values.to_numpy(zero_copy_only=False).astype(np.float64) if ok else None
-            out.append(v.tobytes() if ok and np.isfinite(v).all() and v.any() else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "vector"])
+def _packed(kind: type):
+    """(vec_id, embedding) -> (vec_id, vector binary), null for vectors that link with nothing."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for x in batch.column(1):
+                ok = x.is_valid and len(x.values) > 0 and not x.values.null_count
+                # adding zero makes equal vectors equal bytes
+                v = x.values.to_numpy(zero_copy_only=False).astype(kind) + kind(0) if ok else None
+                out.append(v.tobytes() if ok and np.isfinite(v).all() and v.any() else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "vector"])
+
+    return run
 
 
-def _in_cells(options: tuple, with_vectors: bool):
+def _in_cells(options: tuple, kind: type, with_vectors: bool):
     """Classes (cid, copies, vector) -> a row for each cell; the cells' names go along for the counting rule."""
 
     def run(batches):
         for batch in batches:
-            vectors = _vectors(batch.column(2))
+            vectors = _vectors(batch.column(2), kind)
             for at, unit in _unit_groups(vectors):
                 names = cells(unit, *options)
                 k = names.shape[1]
@@ -119,7 +124,7 @@ def _in_cells(options: tuple, with_vectors: bool):
     return run
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, kind: type):
     """Rows (bucket, ta, tb, tile, cid, copies, vector, codes) sorted by the first three -> (a, b, links): links counted for a (b null), or a forest's edge."""
 
     def block(parts: list[pa.RecordBatch]):
@@ -128,7 +133,7 @@ def _compare(threshold: float):
         if rows.num_rows < 2:
             return None
         tile, cid, copies = (rows.column(i).to_numpy() for i in (3, 4, 5))
-        vectors = _vectors(rows.column(6))
+        vectors = _vectors(rows.column(6), kind)
         size = len(vectors[0])
         if any(len(v) != size for v in vectors):
             raise ValueError("vectors of different lengths in a cell")
@@ -203,20 +208,23 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, tables: int = TABL
     spark = vectors.sparkSession
     bounded_batches(spark)
     scratch, options = Scratch(spark), (tables, probes, scale, seed)
-    narrow = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    packed = scratch.keep(narrow.mapInArrow(_packed, "vec_id long, vector binary"))
+    # float components keep their four bytes until they are compared, in double precision
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    kind = np.float32 if single else np.float64
+    narrow = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"))
+    packed = scratch.keep(narrow.mapInArrow(lean(_packed(kind)), "vec_id long, vector binary"))
     some = packed.where("vector is not null")
     classes = some.groupBy("vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least_id"))
     classes = scratch.keep(classes.withColumn("cid", F.monotonically_increasing_id()))
     own = classes.select("cid", "copies", "vector")
-    sizes = own.mapInArrow(_in_cells(options, False), "bucket long").groupBy("bucket").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("tiles > 1")
+    sizes = own.mapInArrow(_in_cells(options, kind, False), "bucket long").groupBy("bucket").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("tiles > 1")
     sizes = scratch.keep(sizes)
-    rows = own.mapInArrow(_in_cells(options, True), "bucket long, cid long, copies long, vector binary, codes binary")
+    rows = own.mapInArrow(lean(_in_cells(options, kind, True)), "bucket long, cid long, copies long, vector binary, codes binary")
     rows = rows.join(sizes, "bucket", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.select("bucket", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "tile", "cid", "copies", "vector", "codes")
     rows = rows.repartition(shuffle_partitions(spark), "bucket", "ta", "tb").sortWithinPartitions("bucket", "ta", "tb")
-    found = scratch.keep(rows.mapInArrow(_compare(threshold), "a long, b long, links long"))
+    found = scratch.keep(rows.mapInArrow(lean(_compare(threshold, kind)), "a long, b long, links long"))
     counts = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
     comps = components(found.where("b is not null").select("a", "b"), scratch)
     named = classes.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))

@@ -2,16 +2,19 @@
 
 Documents with equal shingle sets collapse into a class. Each class sends its smallest shingle hashes
 (the prefix that any partner at the threshold must meet, and a little more) to the shingles' groups.
-A small group's pairs and, in a larger group, a star to the first class of each size band are tested;
-larger groups with the same first class then merge, as a passage's shingles do, and what is still apart
-in them is cut into size-banded tiles, compared in blocks by bitmaps whose bit counts bound the overlap
-from above. What passes is decided on the whole sorted arrays. The first rounds over the tiles pass on
-each class's nearest only, so that copies unite without all their pairs; the last passes on every pair
-that is left.
+A small group's pairs and, in a larger group, a star to the first class of each size band are counted.
+Two classes at the threshold have as many of the hashes sent in common as the extra ones of either, less
+those in larger groups: pairs with fewer go. Larger groups with the same first class then merge, as a
+passage's shingles do, and what is still apart in them is cut into size-banded tiles, compared in blocks
+by bitmaps. A bitmap holds the parity of the elements on each bit, so that two differ in no more bits
+than their sets in elements, which bounds the overlap from above. What passes is decided on the whole
+sorted arrays. The first rounds over the tiles pass on each class's nearest only, so that copies unite
+without all their pairs; the last passes on every pair that is left.
 
 A group larger than ``HOT`` holds boilerplate. Two classes whose further prefix hashes make up for
 their hot ones meet in another group, so in a hot group only classes short of that are compared with
-the rest: no link is lost, and the square of a passage's popularity isn't paid.
+the rest: no link is lost, and the square of a passage's popularity isn't paid. A shingle that more
+than ``SPLIT`` classes send is salted before they meet.
 """
 
 from __future__ import annotations
@@ -21,11 +24,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sectorloom.llm.common import Scratch, apart, bounded_batches, mix64, ngram_hashes, shuffle_partitions, string_chunks, text_column, word_hashes
+from sectorloom.llm.common import Scratch, apart, bounded_batches, lean, mix64, ngram_hashes, shuffle_partitions, string_chunks, text_column, word_hashes
 from sectorloom.llm.components import components
 
 #: Up to so many members, a group's pairs are listed.
@@ -38,10 +42,16 @@ HOT = 2048
 ROUNDS = 1
 #: Members compared with one pivot in one task.
 STAR = 4096
+#: Members of a shingle's group in one task, about; at scale, as many as keep the split shingles' table within BROADCAST_IDS.
+SPLIT = 10_000
+#: Shingles counted together in search of those.
+COUNTED = 1_000_000
 #: Sets whose copies a task recognises before it forgets them all.
 SEEN = 200_000
 #: Identifiers that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Bits of a bitmap at most; beyond, its bound is weaker.
+WIDEST = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -92,17 +102,20 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarr
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Hashed bitmap with 2 to 4 bits for each element; halves fold together for a smaller width."""
-    bits = 1 << max(6, (2 * len(s) - 1).bit_length())
-    flags = np.zeros(bits, np.uint8)
-    flags[(mix64(s.view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)] = 1
-    return np.packbits(flags, bitorder="little").tobytes()
+    """Hashed bitmap with 2 to 4 bits for each element, WIDEST at most, each the parity of the elements that fall on it."""
+    bits = min(WIDEST, 1 << max(6, (2 * len(s) - 1).bit_length()))
+    at = (mix64(s.view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def folded(b: bytes, width: int) -> np.ndarray:
-    """The bitmap as 64-bit words, folded to ``width`` bytes."""
-    a = np.frombuffer(b, np.uint64)
-    return np.bitwise_or.reduce(a.reshape(-1, width // 8), axis=0) if len(b) > width else a
+def folded(a: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps, rows of 64-bit words, folded to ``width`` bytes."""
+    return np.bitwise_xor.reduce(a.reshape(len(a), -1, width // 8), axis=1) if a.shape[1] * 8 > width else a
+
+
+def _rows(bits: list[bytes]) -> np.ndarray:
+    """Bitmaps of one width as rows of 64-bit words."""
+    return np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), -1)
 
 
 def _keys(s: np.ndarray) -> tuple[int, int]:
@@ -132,11 +145,12 @@ def _sets(rule: Rule):
                 for i in range(last - first):
                     s = sets_of[i]
                     n, key = len(s), _keys(s)
-                    new = n > 0 and key not in seen and ids[first + i].is_valid
+                    both = key[0] << 64 | key[1]
+                    new = n > 0 and both not in seen and ids[first + i].is_valid
                     if new:
                         if len(seen) >= SEEN:
                             seen.clear()
-                        seen.add(key)
+                        seen.add(both)
                     rows["n"].append(n)
                     rows["k1"].append(_signed(key[0]))
                     rows["k2"].append(_signed(key[1]))
@@ -152,63 +166,92 @@ def _sets(rule: Rule):
     return run
 
 
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrays of tokens -> (token, n) for those that come more than once among COUNTED, and their number in all (token null)."""
+    held, size, total = [], 0, 0
+
+    def counted():
+        token, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(token[n > 1]), pa.array(n[n > 1])], names=["token", "n"])
+
+    for batch in batches:
+        values = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+        held.append(values)
+        size, total = size + len(values), total + len(values)
+        if size >= COUNTED:
+            yield counted()
+            held, size = [], 0
+    if held:
+        yield counted()
+    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([total])], names=["token", "n"])
+
+
 MEETS = "token long, a long, b long"
 
 
-def _meets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by token, band, n, rid -> a small group's pairs (token null, a, b), a larger group's members (token, a, the first of its band)."""
+def _meets(rule: Rule):
+    """Rows (token, salt, rid, band, n) sorted -> a small group's pairs of like sizes (token null, a, b), a larger group's members (token, a, the first of its band).
+
+    A salt that isn't negative marks a part of a larger group.
+    """
 
     def out(token, a, b):
         return pa.RecordBatch.from_arrays([token, pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["token", "a", "b"])
 
-    def pairs(rid: np.ndarray, first: np.ndarray, size: np.ndarray):
+    def pairs(rid: np.ndarray, n: np.ndarray, first: np.ndarray, size: np.ndarray):
         for k in range(2, SMALL + 1):
             at = first[size == k]
             if len(at):
-                members = rid[at[:, None] + np.arange(k)]
+                at = at[:, None] + np.arange(k)
                 i, j = np.triu_indices(k, 1)
-                a, b = members[:, i].ravel(), members[:, j].ravel()
+                a, b = at[:, i].ravel(), at[:, j].ravel()
+                like = np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * rule.percent
+                a, b = rid[a[like]], rid[b[like]]
                 yield out(pa.nulls(len(a), pa.int64()), a, b)
 
-    def members(token: np.ndarray, rid: np.ndarray, band: np.ndarray):
-        """Whole groups or the next part of one; ``band`` and ``pivot`` go on from the part before."""
-        nonlocal pivot, of
-        begins = np.concatenate(([of != (token[0], band[0])], (token[1:] != token[:-1]) | (band[1:] != band[:-1])))
-        at = np.maximum.accumulate(np.where(begins, np.arange(len(token)), -1))
-        pivots = np.where(at >= 0, rid[np.maximum(at, 0)], pivot)
-        pivot, of = pivots[-1], (token[-1], band[-1])
-        return out(pa.array(token), rid, pivots)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        large, pivot, of, held = None, 0, None, None
 
-    large, pivot, of, held = None, 0, None, None
-    for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-        if held is not None:
-            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-        token, rid, band = cols
-        if not len(token):
-            continue
-        first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        if token[0] == large:  # more of a group that is known to be large
-            end = first[1] if len(first) > 1 else len(token)
-            yield members(token[:end], rid[:end], band[:end])
-            token, rid, band = token[end:], rid[end:], band[end:]
-            first = first[1:] - end
-            held = None
-            if not len(token):
+        def members(token: np.ndarray, salt: np.ndarray, rid: np.ndarray, band: np.ndarray):
+            """Whole groups or the next part of one; its last ``pivot`` goes on."""
+            nonlocal pivot, of
+            begins = np.concatenate(([of != (token[0], salt[0], band[0])], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]) | (band[1:] != band[:-1])))
+            at = np.maximum.accumulate(np.where(begins, np.arange(len(token)), -1))
+            pivots = np.where(at >= 0, rid[np.maximum(at, 0)], pivot)
+            pivot, of = pivots[-1], (token[-1], salt[-1], band[-1])
+            return out(pa.array(token), rid, pivots)
+
+        for batch in batches:
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            if not len(cols[0]):
                 continue
-        size = np.diff(np.append(first, len(token)))
-        if size[-1] > SMALL:
-            large, held = token[-1], None
-        else:  # the last group may go on in the next batch
-            held = [x[first[-1] :] for x in (token, rid, band)]
-            first, size = first[:-1], size[:-1]
-        yield from pairs(rid, first, size)
-        big = size > SMALL
-        if big.any():
-            at = _runs(first[big], size[big])
-            yield members(token[at], rid[at], band[at])
-    if held is not None:
-        yield from pairs(held[1], np.array([0]), np.array([len(held[1])]))
+            token, salt, rid, band, n = cols
+            first = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]))))
+            if (token[0], salt[0]) == large:  # more of a group that is known to be large
+                end = first[1] if len(first) > 1 else len(token)
+                yield members(*(x[:end] for x in cols[:4]))
+                token, salt, rid, band, n = cols = [x[end:] for x in cols]
+                first = first[1:] - end
+                held = None
+                if not len(token):
+                    continue
+            size = np.diff(np.append(first, len(token)))
+            if size[-1] > SMALL or salt[-1] >= 0:
+                large, held = (token[-1], salt[-1]), None
+            else:  # the last group may go on in the next batch
+                held = [x[first[-1] :] for x in cols]
+                first, size = first[:-1], size[:-1]
+            big = (size > SMALL) | (salt[first] >= 0)
+            yield from pairs(rid, n, first[~big], size[~big])
+            if big.any():
+                at = _runs(first[big], size[big])
+                yield members(*(x[at] for x in cols[:4]))
+        if held is not None:
+            yield from pairs(held[2], held[4], np.array([0]), np.array([len(held[0])]))
+
+    return run
 
 
 def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -224,17 +267,46 @@ def _by_bits(rule: Rule):
             na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
             keep = np.minimum(na, nb) * 100 >= np.maximum(na, nb) * rule.percent
             left, right = batch.column(4), batch.column(5)
-            for i in np.flatnonzero(keep):
-                x, y = left[int(i)].as_py(), right[int(i)].as_py()
-                w = min(len(x), len(y))
-                apart = int(np.bitwise_count(folded(x, w) ^ folded(y, w)).sum())
-                keep[i] = rule.near((int(na[i]) + int(nb[i]) - apart) // 2, int(na[i]), int(nb[i]))
+            widths = np.stack([pc.binary_length(x).to_numpy(zero_copy_only=False) for x in (left, right)])
+            for x, y in np.unique(widths[:, keep], axis=1).T:
+                at = np.flatnonzero(keep & (widths[0] == x) & (widths[1] == y))
+                for i in range(0, len(at), 1000):
+                    own = at[i : i + 1000]
+                    a, b = (folded(_rows(c.take(pa.array(own)).to_pylist()), min(x, y)) for c in (left, right))
+                    apart = np.bitwise_count(a ^ b).sum(axis=1).astype(np.int64)
+                    keep[own] = rule.near((na[own] + nb[own] - apart) // 2, na[own], nb[own])
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     return run
 
 
+class _Widths:
+    """A tile's bitmaps, by width: each compares with those of its own width and, folded, of half and of twice that."""
+
+    def __init__(self, bits: pa.Array):
+        width = pc.binary_length(bits).to_numpy(zero_copy_only=False)
+        self.of, self.place = width, np.zeros(len(width), np.int64)
+        self.full: dict[int, np.ndarray] = {}
+        self.half: dict[int, np.ndarray] = {}
+        for w in np.unique(width).tolist():
+            at = np.flatnonzero(width == w)
+            self.place[at] = np.arange(len(at))
+            self.full[w] = _rows(bits.take(pa.array(at)).to_pylist())
+            self.half[w] = folded(self.full[w], max(8, w // 2))
+
+    def apart(self, i: int, j: np.ndarray) -> np.ndarray:
+        """In how many bits i differs from each of j, at most twice or half as wide."""
+        w, own = int(self.of[i]), self.place[i]
+        out = np.zeros(len(j), np.int64)
+        for other in (w // 2, w, 2 * w):
+            at = np.flatnonzero(self.of[j] == other)
+            if len(at):
+                theirs, mine = (self.half if other > w else self.full)[other], (self.half if other < w else self.full)[w][own]
+                out[at] = np.bitwise_count(theirs[self.place[j[at]]] ^ mine).sum(axis=1)
+        return out
+
+
 def _in_tiles(rule: Rule, nearest: bool):
     """Rows (token, ta, tb, tile, rep, n, bits, comp) sorted by the first three -> pairs in different components that the bitmaps let pass; or the nearest such of each row."""
 
@@ -244,16 +316,14 @@ def _in_tiles(rule: Rule, nearest: bool):
         comp = rows.column(7).to_numpy()
         if (comp == comp[0]).all():
             return None
-        bits = rows.column(6).to_pylist()
-        width = min(map(len, bits))
-        bits = np.stack([folded(b, width) for b in bits])
+        widths = _Widths(rows.column(6).combine_chunks())
         left, right = np.flatnonzero(tile == ta[0]), np.flatnonzero(tile == tb[0])
         out: tuple[list, list] = ([], [])
         for k, i in enumerate(left):
             j = right[k + 1 :] if ta[0] == tb[0] else right
             j = j[(comp[j] != comp[i]) & (np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * rule.percent)]
             if len(j):
-                apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1).astype(np.int64)
+                apart = widths.apart(i, j)
                 ok = rule.near((n[j] + n[i] - apart) // 2, n[j], n[i])
                 j = j[ok]
                 if nearest and len(j):
@@ -317,12 +387,17 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum()) if len(y) else 0
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
-    """The pairs of classes that the exact overlap confirms."""
+def _by_bitmaps(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs of classes that their bitmaps let pass."""
     bits = nodes.select("rep", "n", "bits")
     a = bits.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
     b = bits.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
-    likely = scratch.keep(pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_by_bits(rule), "a long, b long"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(lean(_by_bits(rule)), "a long, b long")
+
+
+def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """The pairs of classes, a < b, that the exact overlap confirms."""
+    likely = scratch.keep(pairs)
     size = likely.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
     stars = likely.join(size, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
     stars = stars.union(size.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("b")))
@@ -332,14 +407,27 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule, scra
     texts = texts.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= BROADCAST_IDS else texts
     rows = wanted.join(texts, "doc_id").select("a", "salt", "b", "k1", "text", (F.col("a") != F.col("b")).alias("later"))
     rows = rows.repartition(shuffle_partitions(docs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "later", "b").drop("later")
-    found = scratch.keep(rows.mapInArrow(_verified(rule), "a long, b long"))
+    found = scratch.keep(rows.mapInArrow(lean(_verified(rule)), "a long, b long"))
     scratch.drop(likely, wanted)
     return found
 
 
-def _tiles(meets: DataFrame, of: DataFrame, nodes: DataFrame, comps: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+def _met(meets: DataFrame, nodes: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of classes, a < b, that met often enough in small groups, or half as often as a larger group's first."""
+    large = meets.where("token is not null").groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("large"))
+    alpha, n = F.ceil(F.col("n") * rule.percent / F.lit(100)).cast("long"), F.col("n")
+    sent = F.least(n, n - alpha + 1 + F.ceil(n / 20))
+    extra = scratch.keep(nodes.select("rep", "n").join(large, "rep", "left").select("rep", (sent - n + alpha).alias("extra"), F.coalesce("large", F.lit(0)).alias("large")))
+    pairs = meets.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.isnull("token").alias("small")).agg(F.count("*").alias("times"))
+    for side in ("a", "b"):
+        pairs = pairs.join(extra.select(F.col("rep").alias(side), F.col("extra").alias(f"extra_{side}"), (F.col("extra") - F.col("large")).alias(f"least_{side}")), side)
+    enough = F.when(F.col("small"), F.col("times") >= F.least("least_a", "least_b")).otherwise(F.col("times") * 2 >= F.least("extra_a", "extra_b"))
+    return pairs.where(enough).select("a", "b").distinct()
+
+
+def _tiles(meets: DataFrame, nodes: DataFrame, comps: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """(token, ta, tb, tile, rep, n, bits): the classes of the large groups, tile by tile that they must face."""
-    rows = scratch.keep(meets.where("token is not null").select("token", F.col("a").alias("rid")).join(of, "rid").select("token", "rep").distinct())
+    rows = meets.where("token is not null").select("token", F.col("a").alias("rep"))
     groups = rows.groupBy("token").agg(F.count("*").alias("classes"), F.min("rep").alias("first")).where("classes > 1")
     rows = rows.join(groups, "token").join(nodes.select("rep", "n"), "rep")
     alpha = F.ceil(F.col("n") * rule.percent / F.lit(100)).cast("long")
@@ -379,7 +467,21 @@ def _tiles(meets: DataFrame, of: DataFrame, nodes: DataFrame, comps: DataFrame,
 def _apart_in_tiles(tiles: DataFrame, comps: DataFrame, rule: Rule, nearest: bool) -> DataFrame:
     rows = tiles.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("token", "ta", "tb", "tile", "rep", "n", "bits", F.coalesce("component", "rep").alias("comp"))
     rows = rows.repartition(shuffle_partitions(tiles.sparkSession), "token", "ta", "tb").sortWithinPartitions("token", "ta", "tb")
-    return rows.mapInArrow(_in_tiles(rule, nearest), "a long, b long").distinct()
+    return rows.mapInArrow(lean(_in_tiles(rule, nearest)), "a long, b long").distinct()
+
+
+def _groups(firsts: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """Classes (rid, n, tokens) -> what meets in the tokens' groups; the tokens that many send are salted."""
+    counted = firsts.select("tokens").mapInArrow(lean(_repeated), "token long, n long").groupBy("token").agg(F.sum("n").alias("members"))
+    counted = scratch.keep(counted.where(f"token is null or members > {SPLIT}"))
+    total = counted.where("token is null").agg(F.max("members")).first()[0] or 0
+    most = max(SPLIT, -(-total // BROADCAST_IDS))
+    split = counted.where(f"token is not null and members > {most}").select("token", F.ceil(F.col("members") / most).cast("int").alias("parts"))
+    rows = firsts.select("rid", "n", F.explode("tokens").alias("token")).join(F.broadcast(split), "token", "left")
+    salt = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("rid"), F.col("parts"))).otherwise(F.lit(-1)).cast("int")
+    rows = rows.select("token", salt.alias("salt"), "rid", F.floor(F.log(rule.base, F.col("n").cast("double"))).cast("int").alias("band"), "n")
+    rows = rows.repartition(shuffle_partitions(firsts.sparkSession), "token", "salt").sortWithinPartitions("token", "salt", "band", "n", "rid")
+    return rows.mapInArrow(lean(_meets(rule)), MEETS)
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
@@ -395,22 +497,21 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     bounded_batches(spark)
     rule, scratch = Rule(words, percent), Scratch(spark)
     docs = text_column(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    sets = scratch.keep(docs.mapInArrow(_sets(rule), SETS))
+    sets = scratch.keep(docs.mapInArrow(lean(_sets(rule)), SETS))
     linkable = "n > 0 and doc_id is not null"
-    classes = sets.where(linkable).groupBy("k1", "k2", "n").agg(F.min(F.when(F.col("tokens").isNotNull(), F.struct("rid", "doc_id"))).alias("first"), F.min("doc_id").alias("least_id"))
-    classes = scratch.keep(classes.select("k1", "k2", "n", F.col("first.rid").alias("rep"), F.col("first.doc_id").alias("doc_id"), "least_id"))
-    of = scratch.keep(sets.where(f"{linkable} and tokens is not null").select("rid", "k1", "k2", "n").join(classes.select("k1", "k2", "n", "rep"), ["k1", "k2", "n"]).select("rid", "rep"))
-    nodes = scratch.keep(classes.select("rep", "doc_id", "k1").join(sets.select(F.col("rid").alias("rep"), "n", "bits"), "rep"))
-    tokens = sets.where(linkable).select("rid", "n", F.explode("tokens").alias("token"))
-    tokens = tokens.select("token", "rid", F.floor(F.log(rule.base, F.col("n").cast("double"))).cast("int").alias("band"), "n")
-    tokens = tokens.repartition(shuffle_partitions(spark), "token").sortWithinPartitions("token", "band", "n", "rid").drop("n")
-    meets = scratch.keep(tokens.mapInArrow(_meets, MEETS))
-    pairs = meets.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(of.select(F.col("rid").alias("a"), F.col("rep").alias("x")), "a").join(of.select(F.col("rid").alias("b"), F.col("rep").alias("y")), "b")
-    pairs = pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = _links(pairs, nodes, docs, rule, scratch)
+    classes = sets.where(linkable).groupBy("k1", "k2", "n").agg(F.min(F.when(F.col("tokens").isNotNull(), F.col("rid"))).alias("rep"), F.min("doc_id").alias("least_id"))
+    classes = scratch.keep(classes)
+    # tokens of a class stand in the first of its rows in each task; those of one of them count
+    firsts = sets.where(f"{linkable} and tokens is not null")
+    spare = scratch.keep(firsts.select("rid").join(classes.select(F.col("rep").alias("rid")), "rid", "left_anti"))
+    spare = F.broadcast(spare) if spare.count() <= BROADCAST_IDS else spare
+    firsts = firsts.join(spare, "rid", "left_anti")
+    nodes = scratch.keep(firsts.select(F.col("rid").alias("rep"), "doc_id", "k1", "n", "bits"))
+    meets = scratch.keep(_groups(firsts, rule, scratch))
+    links = _links(_by_bitmaps(_met(meets, nodes, rule, scratch), nodes, rule), nodes, docs, rule, scratch)
     comps = components(links, scratch)
-    tiles = _tiles(meets, of, nodes, comps, rule, scratch)
+    tiles = _tiles(meets, nodes, comps, rule, scratch)
+    scratch.drop(meets)
     for left in range(ROUNDS, -1, -1):
         more = _links(_apart_in_tiles(tiles, comps, rule, nearest=left > 0), nodes, docs, rule, scratch)
         links = links.union(more)

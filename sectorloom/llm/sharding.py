@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sectorloom.llm.common import bounded_batches, shuffle_partitions
+from sectorloom.llm.common import bounded_batches, lean, shuffle_partitions
 
 SHARDS = 40
 SEED = 29
@@ -97,7 +97,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, buc
     columns = [*names, "shard", "grown_shard"]
     schema = rows.select(*columns).schema.add("slot", "long")
     at = [rows.columns.index(c) for c in ("shard", "__bucket", "__begin")]
-    return rows.mapInArrow(_shuffled(columns, at, seed), schema)
+    return rows.mapInArrow(lean(_shuffled(columns, at, seed)), schema)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sectorloom.llm.common import bounded_batches
+from sectorloom.llm.common import bounded_batches, release
 
 DECAY = 0.7
 SPAN = 8
@@ -322,17 +322,21 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """
     bounded_batches(docs.sparkSession)
 
-    def run(texts: pa.Array) -> pa.Array:
-        if model.table is None:
-            return pa.array(np.broadcast_to(model.probability(np.zeros(1)), len(texts)))
-        bags = [words_of(t or "") for t in texts.to_pylist()]
-        new = list(set().union(*bags) - known.keys()) if bags else []
-        if len(known) > REMEMBERED:
-            known.clear()
-            new = list(set().union(*bags))
-        if new:
-            known.update(zip(new, model.words(new).tolist(), strict=True))
-        return pa.array(model.probability(model.worst(bags, known)))
-
-    known: dict[str, float] = {}
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[str, float] = {}
+        for texts in batches:
+            if model.table is None:
+                yield pa.array(np.broadcast_to(model.probability(np.zeros(1)), len(texts)))
+                continue
+            bags = [words_of(t or "") for t in texts.to_pylist()]
+            new = list(set().union(*bags) - known.keys())
+            if len(known) > REMEMBERED:
+                known.clear()
+                new = list(set().union(*bags))
+            if new:
+                known.update(zip(new, model.words(new).tolist(), strict=True))
+            yield pa.array(model.probability(model.worst(bags, known)))
+        known.clear()
+        release()
+
     return docs.drop("toxicity").withColumn("toxicity", F.arrow_udf(run, "double")(F.coalesce(F.col("text").cast("string"), F.lit(""))))

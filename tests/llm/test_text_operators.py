@@ -10,11 +10,12 @@ import textwrap
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sectorloom.llm import byte_bpe, embedding_dedup, html_text, jaccard_join, licenses, mixing, pii, quality_rules, sharding, toxicity
-from sectorloom.llm.common import Scratch
+from sectorloom.llm.common import Scratch, word_hashes
 from sectorloom.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -75,7 +76,7 @@ def brute_components(rows):
 @pytest.mark.parametrize("small", [True, False])
 def test_jaccard_components(spark, monkeypatch, small):
     if small:  # all sizes small, so that tiles, hot groups and stars all take part
-        for name, value in (("SMALL", 2), ("TILE", 3), ("HOT", 5), ("STAR", 2)):
+        for name, value in (("SMALL", 2), ("TILE", 3), ("HOT", 5), ("STAR", 2), ("SPLIT", 3)):
             monkeypatch.setattr(jaccard_join, name, value)
     rows = corpus()
     got = jaccard_join.jaccard_components(make(spark, rows)).collect()
@@ -101,8 +102,30 @@ def test_bitmaps_bound_the_overlap():
         x, y = np.sort(rng.choice(pool, 300, False)), np.sort(rng.choice(pool, rng.integers(250, 400), False))
         a, b = jaccard_join.bitmap(x), jaccard_join.bitmap(y)
         w = min(len(a), len(b))
-        apart = int(np.bitwise_count(jaccard_join.folded(a, w) ^ jaccard_join.folded(b, w)).sum())
+        apart = int(np.bitwise_count(jaccard_join.folded(jaccard_join._rows([a]), w) ^ jaccard_join.folded(jaccard_join._rows([b]), w)).sum())
         assert (len(x) + len(y) - apart) // 2 >= len(np.intersect1d(x, y)) == jaccard_join._overlap(x, y)
+        widths = jaccard_join._Widths(pa.array([a, b, a], pa.binary()))
+        assert widths.apart(0, np.array([1, 2])).tolist() == [apart, 0] and widths.apart(1, np.array([0])).tolist() == [apart]
+    assert len(jaccard_join.bitmap(np.arange(1 << 18))) == jaccard_join.WIDEST // 8
+
+
+def test_repeated_tokens_are_counted():
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int64()))], names=["tokens"]) for x in ([[1, 2], [2, 3]], [[2], [], [4, 1]])]
+    got = [(r["token"], r["n"]) for b in jaccard_join._repeated(iter(batches)) for r in b.to_pylist()]
+    assert got == [(1, 2), (2, 3), (None, 7)]
+
+
+def test_word_hashes():
+    def morse(n, bit):
+        return "".join("ab"[(bin(i).count("1") + bit) % 2] for i in range(n))
+
+    words = [morse(1024, 0), morse(1024, 1), *(w * k for w in ("a", "b", "ab", "\0") for k in (1, 2, 7, 8, 9, 16, 31, 32, 33, 40)), "abcdefgh" "12345678", "12345678" "abcdefgh"]
+    data = np.frombuffer("  ".join(words).encode(), np.uint8)
+    start, end, h = word_hashes(data)
+    assert [bytes(data[i:j]).decode() for i, j in zip(start, end, strict=True)] == words
+    assert len(set(h.tolist())) == len(set(words))
+    again = word_hashes(np.frombuffer(" ".join(reversed(words)).upper().encode(), np.uint8))[2]
+    assert again.tolist() == h.tolist()[::-1]
 
 
 @pytest.mark.parametrize("limit", [0, 10**6])
@@ -486,3 +509,14 @@ def test_digest_columns(spark, tmp_path):
     assert got[0]["n_tokens"] == 0 and got[0]["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
     rows = QUERIES["op5_sharding"](spark, str(tmp_path)).collect()
     assert {(r["doc_id"], r["size"], r["text_crc32"]) for r in rows} == {(i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, *_ in corpus()}
+
+
+@pytest.mark.parametrize("size", [32, 64, 128, 384])
+def test_pairs_at_the_threshold_share_a_cell(size):
+    rng = np.random.default_rng(size)
+    a, b = rng.normal(size=(2, 3000, size))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.95 * a + math.sqrt(1 - 0.95**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    x, y = embedding_dedup.cells(a), embedding_dedup.cells(b)
+    assert (x[:, :, None] == y[:, None, :]).any(axis=(1, 2)).mean() > 0.99
