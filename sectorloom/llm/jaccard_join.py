@@ -3,13 +3,14 @@
 Documents with equal shingle sets collapse into a class. Each class sends its smallest shingle hashes
 (the prefix that any partner at the threshold must meet, and a little more) to the shingles' groups.
 A small group's pairs and, in a larger group, a star to the first class of each size band are counted.
-Two classes at the threshold have as many of the hashes sent in common as the extra ones of either, less
-those in larger groups: pairs with fewer go. Larger groups with the same first class then merge, as a
-passage's shingles do, and what is still apart in them is cut into size-banded tiles, compared in blocks
-by bitmaps. A bitmap holds the parity of the elements on each bit, so that two differ in no more bits
+Two classes at the threshold have as many of the hashes sent in common as either sends extra: they meet
+in small groups for a ``SHARE`` of these, and for all that larger groups can't make up, or else in larger
+groups for the rest. Pairs that met less often go, and classes with fewer hashes in larger groups don't
+enter these. Larger groups with the same first class then merge, as a passage's shingles do, and what is
+still apart in them is cut into size-banded tiles, compared in blocks by bitmaps. A bitmap holds the parity of the elements on each bit, so that two differ in no more bits
 than their sets in elements, which bounds the overlap from above. What passes is decided on the whole
-sorted arrays. The first rounds over the tiles pass on each class's nearest only, so that copies unite
-without all their pairs; the last passes on every pair that is left.
+sorted arrays. A block with many pairs passes on each class's nearest only, so that copies unite without
+all their pairs, and comes again for what is left apart; the last round passes on every pair.
 
 A group larger than ``HOT`` holds boilerplate. Two classes whose further prefix hashes make up for
 their hot ones meet in another group, so in a hot group only classes short of that are compared with
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sectorloom.llm.common import Scratch, apart, bounded_batches, lean, mix64, ngram_hashes, shuffle_partitions, string_chunks, text_column, word_hashes
@@ -38,8 +39,11 @@ SMALL = 8
 TILE = 2048
 #: Above so many classes, a shingle's group is hot.
 HOT = 2048
-#: Rounds over the tiles that pass on the nearest of each class before the round that passes on all.
+#: Rounds over the tiles in which blocks with more than DENSE pairs a class pass on the nearest of each before the round that passes on all.
 ROUNDS = 1
+DENSE = 4
+#: The share of the extra hashes that a pair must meet for in small groups, unless it meets for the rest in larger ones.
+SHARE = 0.1
 #: Members compared with one pivot in one task.
 STAR = 4096
 #: Members of a shingle's group in one task, about; at scale, as many as keep the split shingles' table within BROADCAST_IDS.
@@ -190,7 +194,7 @@ MEETS = "token long, a long, b long"
 
 
 def _meets(rule: Rule):
-    """Rows (token, salt, rid, band, n) sorted -> a small group's pairs of like sizes (token null, a, b), a larger group's members (token, a, the first of its band).
+    """Rows (token, salt, rid, n), sorted with n before rid -> a small group's pairs of like sizes (token null, a, b), a larger group's members (token, a, the first of its band).
 
     A salt that isn't negative marks a part of a larger group.
     """
@@ -222,7 +226,8 @@ def _meets(rule: Rule):
             return out(pa.array(token), rid, pivots)
 
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            cols.insert(3, np.floor(np.log(cols[3]) / np.log(rule.base)).astype(np.int64))
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
             if not len(cols[0]):
@@ -308,7 +313,10 @@ class _Widths:
 
 
 def _in_tiles(rule: Rule, nearest: bool):
-    """Rows (token, ta, tb, tile, rep, n, bits, comp) sorted by the first three -> pairs in different components that the bitmaps let pass; or the nearest such of each row."""
+    """Rows (token, ta, tb, tile, rep, n, bits, comp) sorted by the first three -> pairs in different components that the bitmaps let pass.
+
+    With ``nearest``, a block that has many passes on the nearest of each row, and its key with null for the pair.
+    """
 
     def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         rows = pa.Table.from_batches(parts)
@@ -319,6 +327,7 @@ def _in_tiles(rule: Rule, nearest: bool):
         widths = _Widths(rows.column(6).combine_chunks())
         left, right = np.flatnonzero(tile == ta[0]), np.flatnonzero(tile == tb[0])
         out: tuple[list, list] = ([], [])
+        found, dense = 0, False
         for k, i in enumerate(left):
             j = right[k + 1 :] if ta[0] == tb[0] else right
             j = j[(comp[j] != comp[i]) & (np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * rule.percent)]
@@ -326,14 +335,20 @@ def _in_tiles(rule: Rule, nearest: bool):
                 apart = widths.apart(i, j)
                 ok = rule.near((n[j] + n[i] - apart) // 2, n[j], n[i])
                 j = j[ok]
-                if nearest and len(j):
+                found += len(j)
+                dense = nearest and found > DENSE * len(rep)
+                if dense and len(j):
                     j = j[np.argmin(apart[ok] / (n[j] + n[i]))][None]
                 out[0].append(np.full(len(j), rep[i]))
                 out[1].append(rep[j])
-        if not out[0]:
+        if not found:
             return None
         a, b = np.concatenate(out[0]), np.concatenate(out[1])
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        pairs = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *[pa.nulls(len(a), pa.int64())] * 3]
+        if dense:
+            keys = [None, None, rows.column(0)[0].as_py(), int(ta[0]), int(tb[0])]
+            pairs = [pa.concat_arrays([x, pa.array([k], pa.int64())]) for x, k in zip(pairs, keys, strict=True)]
+        return pa.RecordBatch.from_arrays(pairs, names=["a", "b", "token", "ta", "tb"])
 
     def run(batches):
         key, parts = None, []
@@ -412,33 +427,45 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule, scra
     return found
 
 
-def _met(meets: DataFrame, nodes: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+def _alpha(rule: Rule, n: Column) -> Column:
+    return F.ceil(n * rule.percent / F.lit(100)).cast("long")
+
+
+def _extra(rule: Rule, n: Column) -> Column:
+    """How many of the hashes sent two classes at the threshold have in common at least, if n is the smaller's size."""
+    return F.least(_alpha(rule, n), 1 + F.ceil(n / 20))
+
+
+def _stands(meets: DataFrame, nodes: DataFrame, groups: DataFrame, rule: Rule) -> DataFrame:
+    """Of each class how many of its hashes are extra, in larger groups, in hot ones; and how many in larger ones it needs there."""
+    held = meets.where("token is not null").select("token", F.col("a").alias("rep")).join(groups, "token")
+    held = held.groupBy("rep").agg(F.count("*").alias("large"), F.count(F.when(F.col("classes") > HOT, 1)).alias("hot"))
+    extra, least = _extra(rule, F.col("n")), _extra(rule, _alpha(rule, F.col("n")))
+    found = nodes.select("rep", "n").join(held, "rep", "left").select("rep", extra.alias("extra"), F.coalesce("large", F.lit(0)).alias("large"), F.coalesce("hot", F.lit(0)).alias("hot"), ((1 - SHARE) * least).alias("needs"))
+    return found
+
+
+def _met(meets: DataFrame, stands: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes, a < b, that met often enough in small groups, or half as often as a larger group's first."""
-    large = meets.where("token is not null").groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("large"))
-    alpha, n = F.ceil(F.col("n") * rule.percent / F.lit(100)).cast("long"), F.col("n")
-    sent = F.least(n, n - alpha + 1 + F.ceil(n / 20))
-    extra = scratch.keep(nodes.select("rep", "n").join(large, "rep", "left").select("rep", (sent - n + alpha).alias("extra"), F.coalesce("large", F.lit(0)).alias("large")))
     pairs = meets.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.isnull("token").alias("small")).agg(F.count("*").alias("times"))
     for side in ("a", "b"):
-        pairs = pairs.join(extra.select(F.col("rep").alias(side), F.col("extra").alias(f"extra_{side}"), (F.col("extra") - F.col("large")).alias(f"least_{side}")), side)
-    enough = F.when(F.col("small"), F.col("times") >= F.least("least_a", "least_b")).otherwise(F.col("times") * 2 >= F.least("extra_a", "extra_b"))
+        own = stands.select(F.col("rep").alias(side), F.col("extra").alias(f"extra_{side}"), (F.col("extra") - F.col("large")).alias(f"least_{side}"), (F.col("extra") - F.col("hot")).alias(f"cool_{side}"))
+        pairs = pairs.join(own, side)
+    enough = (F.col("times") >= F.least("least_a", "least_b")) & (F.col("times") >= SHARE * F.least("cool_a", "cool_b"))
+    enough = F.when(F.col("small"), enough).otherwise(F.col("times") * 2 >= F.least("extra_a", "extra_b"))
     return pairs.where(enough).select("a", "b").distinct()
 
 
-def _tiles(meets: DataFrame, nodes: DataFrame, comps: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+def _tiles(meets: DataFrame, nodes: DataFrame, comps: DataFrame, groups: DataFrame, stands: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """(token, ta, tb, tile, rep, n, bits): the classes of the large groups, tile by tile that they must face."""
     rows = meets.where("token is not null").select("token", F.col("a").alias("rep"))
-    groups = rows.groupBy("token").agg(F.count("*").alias("classes"), F.min("rep").alias("first")).where("classes > 1")
-    rows = rows.join(groups, "token").join(nodes.select("rep", "n"), "rep")
-    alpha = F.ceil(F.col("n") * rule.percent / F.lit(100)).cast("long")
-    sent = F.least(F.col("n"), F.col("n") - alpha + 1 + F.ceil(F.col("n") / 20))
+    enter = stands.where("large > 0 and large >= needs").select("rep", "hot", "extra")
+    rows = rows.join(groups.where("classes > 1"), "token").join(nodes.select("rep", "n").join(enter, "rep"), "rep")
     hot = F.when(F.col("classes") > HOT, F.lit(1)).otherwise(F.lit(0))
     # groups with one first class merge; kind 1: in a hot group, while its other hashes are enough
-    rows = rows.groupBy("rep", "n", (F.col("first") * 2 + hot).alias("token")).agg(F.count("*").alias("times"))
-    rows = rows.withColumn("hot", F.sum(F.when(F.col("token") % 2 == 1, F.col("times")).otherwise(0)).over(Window.partitionBy("rep")))
-    kind = F.when((F.col("token") % 2 == 1) & (sent - F.col("hot") >= F.col("n") - alpha + 1), 1).otherwise(0)
-    rows = rows.select("rep", "n", "token", kind.alias("kind"))
-    rows = rows.join(rows.groupBy("token").agg(F.count("*").alias("members")), "token")
+    kind = F.when((hot == 1) & (F.col("extra") > F.col("hot")), 1).otherwise(0)
+    rows = scratch.keep(rows.groupBy("rep", "n", (F.col("first") * 2 + hot).alias("token")).agg(F.max(kind).alias("kind")))
+    rows = rows.join(scratch.keep(rows.groupBy("token").agg(F.count("*").alias("members"))), "token")
     band = F.when(F.col("members") > TILE, F.floor(F.log(rule.base, F.col("n").cast("double")))).otherwise(F.lit(0))
     rows = rows.withColumn("band", band.cast("int"))
     rows = rows.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
@@ -467,7 +494,7 @@ def _tiles(meets: DataFrame, nodes: DataFrame, comps: DataFrame, rule: Rule, scr
 def _apart_in_tiles(tiles: DataFrame, comps: DataFrame, rule: Rule, nearest: bool) -> DataFrame:
     rows = tiles.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("token", "ta", "tb", "tile", "rep", "n", "bits", F.coalesce("component", "rep").alias("comp"))
     rows = rows.repartition(shuffle_partitions(tiles.sparkSession), "token", "ta", "tb").sortWithinPartitions("token", "ta", "tb")
-    return rows.mapInArrow(lean(_in_tiles(rule, nearest)), "a long, b long").distinct()
+    return rows.mapInArrow(lean(_in_tiles(rule, nearest)), "a long, b long, token long, ta long, tb long")
 
 
 def _groups(firsts: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
@@ -479,8 +506,8 @@ def _groups(firsts: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     split = counted.where(f"token is not null and members > {most}").select("token", F.ceil(F.col("members") / most).cast("int").alias("parts"))
     rows = firsts.select("rid", "n", F.explode("tokens").alias("token")).join(F.broadcast(split), "token", "left")
     salt = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("rid"), F.col("parts"))).otherwise(F.lit(-1)).cast("int")
-    rows = rows.select("token", salt.alias("salt"), "rid", F.floor(F.log(rule.base, F.col("n").cast("double"))).cast("int").alias("band"), "n")
-    rows = rows.repartition(shuffle_partitions(firsts.sparkSession), "token", "salt").sortWithinPartitions("token", "salt", "band", "n", "rid")
+    rows = rows.select("token", salt.alias("salt"), "rid", "n")
+    rows = rows.repartition(shuffle_partitions(firsts.sparkSession), "token", "salt").sortWithinPartitions("token", "salt", "n", "rid")
     return rows.mapInArrow(lean(_meets(rule)), MEETS)
 
 
@@ -508,14 +535,20 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     firsts = firsts.join(spare, "rid", "left_anti")
     nodes = scratch.keep(firsts.select(F.col("rid").alias("rep"), "doc_id", "k1", "n", "bits"))
     meets = scratch.keep(_groups(firsts, rule, scratch))
-    links = _links(_by_bitmaps(_met(meets, nodes, rule, scratch), nodes, rule), nodes, docs, rule, scratch)
+    groups = scratch.keep(meets.where("token is not null").groupBy("token").agg(F.count("*").alias("classes"), F.min("a").alias("first")))
+    stands = scratch.keep(_stands(meets, nodes, groups, rule))
+    links = _links(_by_bitmaps(_met(meets, stands), nodes, rule), nodes, docs, rule, scratch)
     comps = components(links, scratch)
-    tiles = _tiles(meets, nodes, comps, rule, scratch)
+    tiles = _tiles(meets, nodes, comps, groups, stands, rule, scratch)
     scratch.drop(meets)
     for left in range(ROUNDS, -1, -1):
-        more = _links(_apart_in_tiles(tiles, comps, rule, nearest=left > 0), nodes, docs, rule, scratch)
-        links = links.union(more)
+        found = scratch.keep(_apart_in_tiles(tiles, comps, rule, nearest=left > 0))
+        links = links.union(_links(found.where("a is not null").select("a", "b").distinct(), nodes, docs, rule, scratch))
         comps = components(links, scratch)
+        again = scratch.keep(found.where("token is not null").select("token", "ta", "tb").distinct())
+        if not (blocks := again.count()):
+            break
+        tiles = tiles.join(F.broadcast(again) if blocks <= BROADCAST_IDS else again, ["token", "ta", "tb"], "left_semi")
     named = classes.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     least = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     named = scratch.keep(named.join(least, "comp").select("k1", "k2", "n", "component_id"))
