@@ -142,6 +142,24 @@ def signature_format(content: Column) -> Column:
     return out
 
 
+def chunk_flags(bits: Column) -> Column:
+    """A second-generation chunk's flags as (compressed, has_checksum, pattern); a pattern is a compressed chunk too."""
+    bit = lambda n: bits.bitwiseAND(n) != 0
+    return F.struct(bit(1).alias("compressed"), bit(2).alias("has_checksum"), (bit(4) & bit(1)).alias("pattern"))
+
+
+def method_name(code: Column) -> Column:
+    return F.when(code == 0, "none").when(code == 1, "zlib").when(code == 2, "bzip2").otherwise("unknown")
+
+
+def tabular(text: Column) -> Column:
+    """Names in the third line and values in the fourth, by tabs -> array<struct<identifier, value, ordinal>> by identifier; none of shorter text."""
+    lines = F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n")
+    pairs = F.arrays_zip(F.split(F.get(lines, F.lit(2)), "\t").alias("k"), F.split(F.get(lines, F.lit(3)), "\t").alias("v"))
+    rows = F.array_sort(F.transform(F.filter(pairs, lambda p: F.coalesce(p["v"], F.lit("")) != ""), lambda p: F.struct(p["k"].alias("identifier"), p["v"].alias("value"))))
+    return F.transform(rows, lambda r, i: F.struct(r["identifier"].alias("identifier"), r["value"].alias("value"), (i + 1).cast("long").alias("ordinal")))
+
+
 # ---------------------------------------------------------------- dates
 
 

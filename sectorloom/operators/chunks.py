@@ -1,15 +1,19 @@
-"""Chunked byte streams: splitting, windows, ordered hashes, packing into segments."""
+"""Chunked byte streams: splitting, windows, ordered hashes, codecs, writes at positions, packing into segments."""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sectorloom.functions.scalar import chunk_count
+from sectorloom.kernels import codec
+from sectorloom.operators.ranges import locate
 
 
 def split(df: DataFrame, payload: str, chunk: int) -> DataFrame:
@@ -69,15 +73,114 @@ def stream_hashes(chunks: DataFrame, key: str) -> DataFrame:
 def pack(sizes: DataFrame, key: str, order: list[str], size: str, limit: int) -> DataFrame:
     """Greedy next-fit: adds ``segment`` from 1; a segment holds one row at least and ends before it would exceed ``limit``.
 
-    The reset depends on the running total, so each key is folded in order, on its sizes alone.
+    The reset depends on the running total, so a key's sizes pass through one task in order, which holds
+    two numbers of them; keys spread over tasks.
     """
-    state = F.struct(F.lit(0).cast("long").alias("used"), F.lit(1).cast("long").alias("segment"), F.array().cast("array<bigint>").alias("out"))
 
-    def step(a, x):
-        fresh = (a["used"] > 0) & (a["used"] + x["size"] > limit)
-        segment = a["segment"] + F.when(fresh, 1).otherwise(0)
-        return F.struct((F.when(fresh, F.lit(0)).otherwise(a["used"]) + x["size"]).cast("long").alias("used"), segment.cast("long").alias("segment"), F.concat(a["out"], F.array(segment.cast("long"))).alias("out"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used, segment = object(), 0, 0
+        for batch in batches:
+            out = []
+            for k, n in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if k != now:
+                    now, used, segment = k, 0, 1
+                if used > 0 and used + n > limit:
+                    used, segment = 0, segment + 1
+                used += n
+                out.append(segment)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "segment"])
+
+    rows = sizes.select(key, *order, F.col(size).cast("long").alias("size")).repartition(key).sortWithinPartitions(key, *order, "size")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("segment", LongType())]))
+
+
+ENCODED = "encoding string, stored binary, pattern decimal(20,0)"
+
+
+def encode(chunks: DataFrame, chunk: int, method: str = "zlib", level: int = 6, patterns: bool = False) -> DataFrame:
+    """The chunks' ``data`` as stored: encoding, stored and pattern replace it; where the chunks are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index("data")
+            rows = [codec.encode(x, chunk, method, level, patterns) for x in b.column(at).to_pylist()]
+            kinds, stored, words = ([r[i] for r in rows] for i in range(3))
+            words = [None if w is None else Decimal(w) for w in words]
+            made = [pa.array(kinds, pa.string()), pa.array(stored, pa.binary()), pa.array(words, pa.decimal128(20, 0))]
+            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(b.columns) if i != at), *made], names=[*(n for n in b.schema.names if n != "data"), "encoding", "stored", "pattern"])
+
+    schema = chunks.drop("data").schema
+    for name, kind in (x.split(" ") for x in ENCODED.split(", ")):
+        schema = schema.add(name, kind)
+    return chunks.mapInArrow(run, schema)
+
+
+def decode(encoded: DataFrame, size: str, zero_on_error: bool = False) -> DataFrame:
+    """The inverse: ``data`` of ``size`` bytes and ``corrupted``; a chunk that can't be decoded raises, or reads as zeros."""
 
-    rows = sizes.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(size).cast("long").alias("size")))).alias("rows"))
-    rows = rows.withColumn("segments", F.aggregate("rows", state, step)["out"])
-    return rows.select(key, F.explode(F.arrays_zip("rows", "segments")).alias("x")).select(key, *[F.col(f"x.rows.{c}").alias(c) for c in order], F.col("x.rows.size").alias("size"), F.col("x.segments").alias("segment"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kinds, stored, words, sizes = (b.column(b.schema.get_field_index(n)).to_pylist() for n in ("encoding", "stored", "pattern", size))
+            out, bad = [], []
+            for kind, x, w, n in zip(kinds, stored, words, sizes, strict=True):
+                try:
+                    out.append(codec.decode(kind, x, n, None if w is None else int(w), has_checksum=kind == "raw"))
+                    bad.append(False)
+                except codec.Malformed:
+                    if not zero_on_error:
+                        raise
+                    out.append(bytes(n))
+                    bad.append(True)
+            rest = [i for i, n in enumerate(b.schema.names) if n not in ("encoding", "stored", "pattern")]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in rest), pa.array(out, pa.binary()), pa.array(bad)], names=[*(b.schema.names[i] for i in rest), "data", "corrupted"])
+
+    schema = encoded.drop("encoding", "stored", "pattern").schema.add("data", "binary").add("corrupted", "boolean")
+    return encoded.mapInArrow(run, schema)
+
+
+def overlay(writes: DataFrame, key: str, chunk: int) -> DataFrame:
+    """(key, offset, seq, data) -> (key, chunk_index, data): a stream written at positions; later writes (seq) win, gaps read as zeros.
+
+    A write is cut at the chunks that it meets; a chunk is laid by one task from its own parts, and those
+    between the first and the last of a stream that nothing meets are whole chunks of zeros. The last is short.
+    """
+    at, n = F.col("offset"), F.octet_length("data")
+    met = writes.where(n > 0).withColumn("chunk_index", F.explode(F.sequence(F.floor(at / chunk), F.floor((at + n - 1) / chunk))))
+    begin = F.greatest(F.col("chunk_index") * chunk - at, F.lit(0)).cast("int")
+    end = F.least((F.col("chunk_index") + 1) * chunk - at, n).cast("int")
+    parts = met.select(key, "chunk_index", "seq", (at + begin - F.col("chunk_index") * chunk).cast("int").alias("place"), F.substring(F.col("data"), begin + 1, end - begin).alias("data"))
+    kind = writes.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, laid = None, bytearray()
+        for b in batches:
+            keys, rows = [], []
+            for k, i, place, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (k, i) != now:
+                    if now is not None:
+                        keys.append(now)
+                        rows.append(bytes(laid))
+                    now, laid = (k, i), bytearray()
+                if len(laid) < place + len(data):
+                    laid.extend(bytes(place + len(data) - len(laid)))
+                laid[place : place + len(data)] = data
+            yield batch(keys, rows, b.schema.field(0).type)
+        if now is not None:
+            yield batch([now], [bytes(laid)], None)
+
+    def batch(keys, rows, of):
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], of), pa.array([i for _, i in keys], pa.int64()), pa.array(rows, pa.binary())], names=[key, "chunk_index", "data"])
+
+    rows = parts.repartition(key, "chunk_index").sortWithinPartitions(key, "chunk_index", "seq").select(key, "chunk_index", "place", "data")
+    laid = rows.mapInArrow(run, f"{key} {kind}, chunk_index long, data binary")
+    ends = writes.where(n > 0).groupBy(key).agg(F.max(at + n).alias("size"))
+    every = ends.select(key, "size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / chunk))).alias("chunk_index"))
+    size = F.least(F.lit(chunk), F.col("size") - F.col("chunk_index") * chunk).cast("int")
+    held = F.hex(F.coalesce("data", F.unhex(F.lit(""))))
+    return every.join(laid, [key, "chunk_index"], "left").select(key, "chunk_index", F.unhex(F.rpad(held, 2 * size, "0")).alias("data"))
+
+
+def segment_of(chunks: DataFrame, ranges: DataFrame, segments: DataFrame, chunk: str = "chunk_index") -> DataFrame:
+    """Chunks with ``path``, the segment file that stores each: by the table range that holds its index."""
+    found = locate(chunks, ranges, chunk, "first_chunk", "chunk_count", ["segment_index"])
+    return found.join(segments.select("segment_index", "path"), "segment_index")

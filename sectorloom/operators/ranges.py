@@ -53,9 +53,9 @@ def tracks(entries: DataFrame, key: str, start: str, audio: str, order: list[str
     return ends.select(key, F.row_number().over(k).cast("long").alias("ordinal"), F.col("first").cast("long").alias("first_sector"), (F.col("end") - F.col("first")).cast("long").alias("sector_count"))
 
 
-def positions(extents: DataFrame, key: str, order: list[str], size: str) -> DataFrame:
+def positions(extents: DataFrame, key: str | list[str], order: list[str], size: str) -> DataFrame:
     """Adds file_position, where each extent begins in its file."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return extents.withColumn("file_position", F.sum(size).over(w) - F.col(size))
 
 
@@ -65,3 +65,30 @@ def extent_chunks(extents: DataFrame, offset: str, size: str, chunk: int) -> Dat
     begin = F.greatest(F.col(offset), F.col("chunk_index") * chunk)
     end = F.least(F.col(offset) + F.col(size), (F.col("chunk_index") + 1) * chunk)
     return rows.withColumn("begin_in_chunk", begin - F.col("chunk_index") * chunk).withColumn("bytes", end - begin)
+
+
+def contiguity(ranges: DataFrame, key: list[str], order: list[str], first: str, count: str, total: str) -> DataFrame:
+    """Adds ``state`` of ranges that must follow each other from 0 to the total: empty, overlap, gap, beyond, short (the last ends early) or ok."""
+    w = Window.partitionBy(*key).orderBy(*order)
+    end = F.col(first) + F.col(count)
+    before = F.coalesce(F.lag(end).over(w), F.lit(0))
+    state = F.when(F.col(count) <= 0, "empty").when(F.col(first) < before, "overlap").when(F.col(first) > before, "gap").when(end > F.col(total), "beyond")
+    return ranges.withColumn("state", state.when(F.lead(first).over(w).isNull() & (end < F.col(total)), "short").otherwise("ok"))
+
+
+def containing(points: DataFrame, intervals: DataFrame, point: str, first: str, last: str, ordinal: str, grain: int = 1024) -> DataFrame:
+    """Points with ``ordinal`` of the first interval [first, last], its end included, that holds each; null where none does.
+
+    An interval is listed under each block of ``grain`` values that it meets; points of one value are looked up once.
+    """
+    block = lambda c: F.floor(F.col(c) / grain)
+    listed = intervals.where(F.col(last) >= F.col(first)).select(F.explode(F.sequence(block(first), block(last))).alias("__block"), F.col(first).alias("__first"), F.col(last).alias("__last"), F.col(ordinal).alias("__ordinal"))
+    values = points.select(F.col(point).alias("__point")).where("__point is not null").distinct().withColumn("__block", F.floor(F.col("__point") / grain))
+    hit = values.join(listed, "__block").where("__point between __first and __last").groupBy("__point").agg(F.min("__ordinal").alias(ordinal))
+    return points.join(hit, F.col(point) == F.col("__point"), "left").drop("__point")
+
+
+def session_entries(sessions: DataFrame, tracks: DataFrame, key: str) -> DataFrame:
+    """(key, ordinal, start, audio): the entries that sessions and audio tracks are stored as, by start and with audio last."""
+    rows = sessions.select(key, F.col("first_sector").alias("start"), F.lit(False).alias("audio")).union(tracks.select(key, F.col("first_sector").alias("start"), F.lit(True).alias("audio")))
+    return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(key).orderBy("start", "audio")).cast("long")).select(key, "ordinal", "start", "audio")

@@ -94,28 +94,13 @@ def adler32_chunk(spark, sf_dir):
     return _chunks(spark, sf_dir).select("doc_id", "chunk_index", S.adler32(F.col("data")).alias("adler32"))
 
 
-@query("""SELECT doc_id, k, CASE WHEN k = 0 THEN true WHEN k = 1 THEN repeat(substr(text, 1, 8), 64) = repeat(substr(text, 1, 8), 64) ELSE false END AS repeats FROM (SELECT doc_id, text, unnest([0, 1, 2]) AS k FROM documents WHERE regexp_full_match(substr(text, 1, 9), '[A-Za-z ]{9}') AND substr(text, 1, 8) <> substr(text, 2, 8))""")
-def pattern_fill_detect(spark, sf_dir):
-    rows = _table(spark, sf_dir, "documents").where(F.substring("text", 1, 9).rlike("^[A-Za-z ]{9}$") & (F.substring("text", 1, 8) != F.substring("text", 2, 8)))
-    rows = rows.select("doc_id", "text", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"))
-    seed = F.substring("text", 1, 8)
-    made = F.when(F.col("k") == 0, F.unhex(F.repeat(F.lit("00"), 512))).when(F.col("k") == 1, F.encode(F.repeat(seed, 64), "UTF-8")).otherwise(F.encode(F.concat(F.substring("text", 1, 9), F.repeat(seed, 63)), "UTF-8"))
-    return rows.select("doc_id", "k", S.repeats_pattern(made).alias("repeats"))
-
-
-@query("""SELECT doc_id, (n % 2 = 0) AS zero FROM (SELECT doc_id, CAST(n_chars AS BIGINT) AS n FROM documents)""")
-def zero_chunk_detect(spark, sf_dir):
-    made = F.when(F.col("n_chars") % 2 == 0, F.unhex(F.repeat(F.lit("00"), CHUNK))).otherwise(F.unhex(F.repeat(F.lit("00"), CHUNK - 1)))
-    return _table(spark, sf_dir, "documents").select("doc_id", S.all_zero(made, CHUNK).alias("zero"))
-
-
 @query(_SQL_CHUNKS + """SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, hx = substr(repeat(rpad(substr(hx, 1, 16), 16, '0'), 64), 1, length(hx)) AS repeats FROM c""")
-def pattern_fill_chunks(spark, sf_dir):
+def pattern_fill_detect(spark, sf_dir):
     return _chunks(spark, sf_dir).select("doc_id", "chunk_index", S.repeats_pattern(F.col("data")).alias("repeats"))
 
 
 @query(_SQL_CHUNKS + """SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, hx = repeat('0', 1024) AS zero FROM c""")
-def zero_fill_chunks(spark, sf_dir):
+def zero_chunk_detect(spark, sf_dir):
     return _chunks(spark, sf_dir).select("doc_id", "chunk_index", S.all_zero(F.col("data"), CHUNK).alias("zero"))
 
 
@@ -252,8 +237,7 @@ def entry_subject(spark, sf_dir):
 
 @query("""SELECT o_orderkey, count(l_orderkey) AS n_aces FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey""")
 def acl_count(spark, sf_dir):
-    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey")
-    return _table(spark, sf_dir, "orders").select("o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy("o_orderkey").agg(F.count("l_orderkey").alias("n_aces"))
+    return catalog.count_of(_table(spark, sf_dir, "orders").select("o_orderkey"), _table(spark, sf_dir, "lineitem"), "o_orderkey", "l_orderkey", "n_aces")
 
 
 @query(f"""SELECT l_orderkey, greatest(max(CAST(l_quantity AS BIGINT)), max(CASE WHEN l_returnflag <> 'R' THEN l_partkey + CAST(l_quantity AS BIGINT) END)) AS data_size FROM lineitem GROUP BY l_orderkey""")
@@ -264,29 +248,17 @@ def tree_data_size(spark, sf_dir):
 
 @query("""SELECT l_orderkey, bool_or(l_returnflag = 'R') AS any_guid FROM lineitem GROUP BY l_orderkey""")
 def tree_any_guid(spark, sf_dir):
-    return _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("any_guid"))
-
-
-@query("""SELECT source, lang, min(doc_id) AS first_doc FROM documents WHERE doc_id % 4 <> 0 GROUP BY source, lang""")
-def first_wins_merge(spark, sf_dir):
-    rows = _table(spark, sf_dir, "documents").select("source", "lang", "doc_id", F.when(F.col("doc_id") % 4 != 0, F.col("doc_id")).alias("first_doc"))
-    return catalog.first_wins(rows, ["source", "lang"], "first_doc", ["doc_id"])
-
-
-@query("""SELECT source, lang, count(CASE WHEN doc_id % 9 = 0 THEN doc_id END) AS n_values FROM documents GROUP BY source, lang HAVING count(CASE WHEN doc_id % 9 = 0 THEN doc_id END) > 1""")
-def at_most_one_conflicts(spark, sf_dir):
-    rows = _table(spark, sf_dir, "documents").select("source", "lang", F.when(F.col("doc_id") % 9 == 0, F.col("doc_id")).alias("v"))
-    return catalog.at_most_one(rows, ["source", "lang"], "v")
+    return catalog.any_present(_table(spark, sf_dir, "lineitem"), ["l_orderkey"], F.col("l_returnflag") == "R", "any_guid")
 
 
 @query("""SELECT source, lang, min(doc_id) AS first_doc FROM documents GROUP BY source, lang""")
-def first_wins_whole(spark, sf_dir):
+def first_wins_merge(spark, sf_dir):
     rows = _table(spark, sf_dir, "documents").select("source", "lang", "doc_id", F.col("doc_id").alias("first_doc"))
     return catalog.first_wins(rows, ["source", "lang"], "first_doc", ["doc_id"])
 
 
 @query("""SELECT source, lang, count(doc_id) AS n_values FROM documents GROUP BY source, lang HAVING count(doc_id) > 1""")
-def at_most_one_whole(spark, sf_dir):
+def at_most_one_conflicts(spark, sf_dir):
     return catalog.at_most_one(_table(spark, sf_dir, "documents").select("source", "lang", "doc_id"), ["source", "lang"], "doc_id")
 
 
@@ -349,9 +321,7 @@ def hex_strict_parse(spark, sf_dir):
 @query("""SELECT p_partkey, (p_size & 1) <> 0 AS compressed, (p_size & 2) <> 0 AS has_checksum, ((p_size & 4) <> 0 AND (p_size & 1) <> 0) AS pattern,
 CASE p_size % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'zlib' WHEN 2 THEN 'bzip2' ELSE 'unknown' END AS method FROM part""")
 def flag_bits(spark, sf_dir):
-    bit = lambda n: F.col("p_size").bitwiseAND(n) != 0
-    m = F.col("p_size") % 4
-    return _table(spark, sf_dir, "part").select("p_partkey", bit(1).alias("compressed"), bit(2).alias("has_checksum"), (bit(4) & bit(1)).alias("pattern"), F.when(m == 0, "none").when(m == 1, "zlib").when(m == 2, "bzip2").otherwise("unknown").alias("method"))
+    return _table(spark, sf_dir, "part").select("p_partkey", S.chunk_flags(F.col("p_size")).alias("f"), S.method_name(F.col("p_size") % 4).alias("method")).select("p_partkey", "f.*", "method")
 
 
 @query("""SELECT p_partkey, p_partkey * 16 AS data_offset, CAST(p_size AS BIGINT) AS data_size, p_size % 2 = 0 AS sparse FROM part""")
@@ -382,7 +352,5 @@ def corruption_message_probe(spark, sf_dir):
 
 @query("""SELECT event_id, k AS identifier, v AS value, row_number() OVER (PARTITION BY event_id ORDER BY k) AS ordinal FROM (SELECT event_id, unnest(['case_number', 'description', 'model']) AS k, unnest([CAST(user_id AS VARCHAR), event_type, 'm' || CAST(event_id % 3 AS VARCHAR)]) AS v FROM events)""")
 def header_tabular_parse(spark, sf_dir):
-    names, values = F.lit("case_number\tdescription\tmodel"), F.concat_ws("\t", F.col("user_id").cast("string"), "event_type", F.concat(F.lit("m"), (F.col("event_id") % 3).cast("string")))
-    zipped = F.arrays_zip(F.split(names, "\t").alias("k"), F.split(values, "\t").alias("v"))
-    rows = _table(spark, sf_dir, "events").select("event_id", F.explode(zipped).alias("x")).select("event_id", F.col("x.k").alias("identifier"), F.col("x.v").alias("value"))
-    return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy("event_id").orderBy("identifier")).cast("long"))
+    lines = F.concat(F.lit("1\nmain\ncase_number\tdescription\tmodel\n"), F.concat_ws("\t", F.col("user_id").cast("string"), "event_type", F.concat(F.lit("m"), (F.col("event_id") % 3).cast("string"))), F.lit("\n\n"))
+    return _table(spark, sf_dir, "events").select("event_id", F.explode(S.tabular(lines)).alias("x")).select("event_id", "x.*")

@@ -54,7 +54,7 @@ def test_files_in_a_container(spark, tmp_path, format):
     data = bytes(range(256)) * 20
     rows = spark.createDataFrame([(i // 1024, data[i : i + 1024]) for i in range(0, len(data), 1024)], "chunk_index long, data binary")
     c = sample()
-    c.entries[2]["extents"] = [(1000, 60, False), (0, 4, True), (5, 3, False)]
+    c.entries[2] |= {"extents": [(1000, 60, False), (0, 4, True), (5, 3, False)], "size": 67}
     (path,) = write_ewf(rows, str(tmp_path / "x"), len(data), build.Options(format, 2, 512, catalog=c))
     entries = read_ewf(spark, path, "file_entries")
     assert entries.count() == 4 and read_ewf(spark, path, "permissions").first()["access_mask"] == 2032127
