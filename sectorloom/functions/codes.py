@@ -6,12 +6,13 @@ Text that breaks a rule gives null, so that a caller can count, drop or raise by
 from __future__ import annotations
 
 import codecs
-import struct
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sectorloom.kernels.attributes import read_attributes, write_attributes
+
 # ---------------------------------------------------------------- numbers
 
 _RANGES = {
@@ -199,48 +200,11 @@ def path_normalised(path: Column, here: str = "/") -> Column:
 ATTRIBUTES = "array<struct<name:string,value:string>>"
 
 
-def _record(name: str | None, value: str | None, branch: bool) -> bytes:
-    """A record: four zero bytes, whether it is a branch, the lengths in UTF-16 units, name and value, each closed by a null character."""
-    texts = [b"" if t is None else (t + "\0").encode("utf-16-le") for t in (name, value)]
-    return struct.pack("<4xB2I", branch, *[len(t) // 2 for t in texts]) + b"".join(texts)
-
-
-#: What attributes begin with.
-LEAD = _record("Attributes", "", True)
-
-
-def attributes_read(data: bytes) -> list[tuple[str | None, str | None]] | None:
-    """(name, value) of the records that aren't branches; null if they break off or don't begin as they must."""
-    if not data:
-        return []
-    if not data.startswith(LEAD):
-        return None
-    out, at = [], 0
-    while at < len(data):
-        if len(data) - at < 13:
-            return None
-        branch, *units = struct.unpack_from("<4xB2I", data, at)
-        at += 13
-        texts: list[str | None] = []
-        for n in units:
-            if at + 2 * n > len(data):
-                return None
-            try:
-                text = data[at : at + 2 * n].decode("utf-16-le")
-            except UnicodeDecodeError:
-                return None
-            at += 2 * n
-            texts.append(text.removesuffix("\0") or None)
-        if not branch:
-            out.append((texts[0], texts[1]))
-    return out
-
-
 def attributes_parsed(s: Column) -> Column:
     """Extended attributes from their hex text; null if it is malformed, none of empty text."""
 
     def run(column: pa.Array) -> pa.Array:
-        found = [None if x is None else attributes_read(x) for x in column.to_pylist()]
+        found = [None if x is None else read_attributes(x) for x in column.to_pylist()]
         rows = [None if f is None else [{"name": n, "value": v} for n, v in f] for f in found]
         return pa.array(rows, pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])))
 
@@ -252,6 +216,6 @@ def attributes_text(attributes: Column) -> Column:
 
     def run(column: pa.Array) -> pa.Array:
         rows = column.to_pylist()
-        return pa.array([None if r is None else (LEAD + b"".join(_record(a["name"], a["value"], False) for a in r)).hex() if r else "" for r in rows], pa.string())
+        return pa.array([None if r is None else write_attributes([(a["name"], a["value"]) for a in r]).hex() for r in rows], pa.string())
 
     return F.arrow_udf(run, "string")(attributes)

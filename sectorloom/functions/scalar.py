@@ -49,7 +49,7 @@ def padded(size: Column, sector: int) -> Column:
     return (F.ceil(size / F.lit(sector)) * sector).cast("long")
 
 
-def error_range(index: Column, size: Column, chunk: int, sector: Column) -> tuple[Column, Column]:
+def error_range(index: Column, size: Column, chunk: Column | int, sector: Column) -> tuple[Column, Column]:
     """First sector and sectors of a chunk, one at least; in bytes where the sector size is null or 0."""
     known = sector.isNotNull() & (sector != 0)
     at = index * chunk

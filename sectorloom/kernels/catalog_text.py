@@ -11,6 +11,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from sectorloom.kernels.attributes import read_attributes, write_attributes
 from sectorloom.kernels.codec import Malformed
 
 
@@ -68,6 +69,16 @@ def _kind(s: str) -> str:
     return {"f": "file", "d": "directory"}.get(s, "unknown")
 
 
+def _attributes(s: str) -> list[tuple[str | None, str | None]]:
+    digits = re.sub(r"\s", "", s)
+    if not re.fullmatch("([0-9A-Fa-f]{2})*", digits):
+        raise Malformed("extended attributes are not hex")
+    found = read_attributes(bytes.fromhex(digits))
+    if found is None:
+        raise Malformed("extended attributes are malformed")
+    return found
+
+
 _text = str
 # fixed values: tags of the categories, the column of each and its type
 SOURCES = {
@@ -83,7 +94,7 @@ ENTRIES = {
     "du": ("duplicate_data_offset", _i64), "src": ("source_identifier", _id), "sub": ("subject_identifier", _u32), "pm": ("permission_group_index", _i32),
     "cid": ("record_type", _u32), "opr": ("flags", _u32), "be": ("extents", extents), "ha": ("md5", _hex), "sha": ("sha1", _hex), "snh": ("short_name", _short),
     "cr": ("creation_time", _i64), "wr": ("modification_time", _i64), "ac": ("access_time", _i64), "mo": ("entry_modification_time", _i64),
-    "dl": ("deletion_time", _i64), "mid": ("guid", _hex),
+    "dl": ("deletion_time", _i64), "mid": ("guid", _hex), "ea": ("attributes", _attributes),
 }
 GROUP = 10
 
@@ -212,6 +223,8 @@ def _line(types: dict, row: dict) -> str:
             out.append("")
         elif name == "extents":
             out.append(" ".join([f"{len(value):x}", *(f"{'S ' if s else ''}{a:x} {n:x}" for a, n, s in value)]) if value else "")
+        elif name == "attributes":
+            out.append(write_attributes(value).hex())
         elif name == "type":
             out.append({"file": "f", "directory": "d"}.get(value, "u"))
         elif name == "short_name":
