@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch sent to Python, so that long texts don't pile up in a worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 BATCH_ROWS = 2000
+#: Bytes of input for each file of a derived table, so that no table consists of tiny files.
+FILE_BYTES = 16 << 20
 #: Bytes of text whose words are hashed in one vectorised step.
 PIECE_BYTES = 1 << 20
 
@@ -55,6 +57,17 @@ def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     return task
 
 
+def lean_arrays(run: Callable[[pa.Array], pa.Array]) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    """The same for a function of one column's batches."""
+
+    def task(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield run(batch)
+        release()
+
+    return task
+
+
 def release() -> None:
     """Hands freed memory back to the system."""
     gc.collect()
@@ -75,20 +88,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's size; that of its files for a scan."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 class Scratch:
     """Tables written in the shared folder, which cut lineage and outlive a lost executor.
 
-    ``drop`` removes them once a later table has taken over what they hold.
+    ``drop`` removes them once a later table has taken over what they hold. ``source``: the table that they
+    derive from; none of them has more files than it has pieces of FILE_BYTES, or twice as many as there are cores.
     """
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, source: DataFrame | None = None):
         self.spark = spark
+        self.files = None if source is None else max(2 * spark.sparkContext.defaultParallelism, planned_bytes(source) // FILE_BYTES)
         self.root = f"{shared_dir(spark).rstrip('/')}/sectorloom-{uuid.uuid4().hex}"
         self.kept: dict[int, tuple[DataFrame, str]] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{uuid.uuid4().hex[:12]}"
-        df.write.option("compression", "zstd").parquet(path)
+        (df if self.files is None else df.coalesce(self.files)).write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.kept[id(out)] = (out, path)
         return out

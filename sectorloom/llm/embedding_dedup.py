@@ -207,7 +207,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, tables: int = TABL
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
-    scratch, options = Scratch(spark), (tables, probes, scale, seed)
+    scratch, options = Scratch(spark, vectors), (tables, probes, scale, seed)
     # float components keep their four bytes until they are compared, in double precision
     single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
     kind = np.float32 if single else np.float64

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectorloom.llm.common import bounded_batches
+from sectorloom.llm.common import bounded_batches, lean_arrays
 
 # fixed values: element names by their role
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -436,4 +436,4 @@ def extract_text(pages: DataFrame, column: str = "html") -> DataFrame:
     table gives an empty result.
     """
     bounded_batches(pages.sparkSession)
-    return pages.withColumn("text", F.arrow_udf(_rendered, "string")(F.col(column).cast("string")))
+    return pages.withColumn("text", F.arrow_udf(lean_arrays(_rendered), "string")(F.col(column).cast("string")))

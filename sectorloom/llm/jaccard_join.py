@@ -522,7 +522,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     """
     spark: SparkSession = docs.sparkSession
     bounded_batches(spark)
-    rule, scratch = Rule(words, percent), Scratch(spark)
+    rule, scratch = Rule(words, percent), Scratch(spark, docs)
     docs = text_column(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     sets = scratch.keep(docs.mapInArrow(lean(_sets(rule)), SETS))
     linkable = "n > 0 and doc_id is not null"

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectorloom.llm.common import apart, bounded_batches, mix64, ngram_hashes, string_chunks, word_hashes
+from sectorloom.llm.common import apart, bounded_batches, lean_arrays, mix64, ngram_hashes, string_chunks, word_hashes
 
 UNKNOWN = "unknown"
 #: Words in a window of a long paragraph, and the step between windows.
@@ -313,4 +313,4 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     column named license is replaced. An empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
-    return docs.withColumn("license", F.arrow_udf(_scanned, FOUND)(F.col("text").cast("string")))
+    return docs.withColumn("license", F.arrow_udf(lean_arrays(_scanned), FOUND)(F.col("text").cast("string")))

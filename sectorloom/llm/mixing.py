@@ -150,7 +150,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     count each time; a null doc_id is an id like others. Other columns pass through, except that one
     named ``mix`` is replaced. Empty tables give empty results.
     """
-    scratch = Scratch(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, docs)
     rid = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("text"))
     fine = F.pmod(_seeded(seed + 1, rid), F.lit(MOST_BLOCKS))
     source_id = F.xxhash64(F.lit(seed), F.col("source").isNull(), "source")

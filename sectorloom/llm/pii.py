@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from sectorloom.llm.common import bounded_batches
+from sectorloom.llm.common import bounded_batches, lean_arrays
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
@@ -241,7 +241,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     ``pii`` is replaced. An empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
-    return docs.drop("pii").withColumn("pii", arrow_udf(_found, FOUND)(F.col("text").cast("string")))
+    return docs.drop("pii").withColumn("pii", arrow_udf(lean_arrays(_found), FOUND)(F.col("text").cast("string")))
 
 
 def redact(docs: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ SAMPLE = 1500
 #: Weight in training of a word like no landmark; all other words weigh 1 together.
 UNLIKE = 0.1
 #: Words whose scores a task remembers at once.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 EDGES = ".,;:!?\"'()[]{}<>%*$&#|-_~…«»“”„"
 
 # ---------------------------------------------------------------- characters and words
