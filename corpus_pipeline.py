@@ -43,7 +43,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The byte-level BPE ids of every text, with the digest of what they decode to."""
-    both = bpe_decode(bpe_encode(docs))
+    both = bpe_decode(Scratch(spark, docs).keep(bpe_encode(docs)))  # written between, so that a task has one Python worker
     return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
