@@ -97,7 +97,7 @@ class Scratch:
     """Tables written in the shared folder, which cut lineage and outlive a lost executor.
 
     ``drop`` removes them once a later table has taken over what they hold. ``source``: the table that they
-    derive from; none of them has more files than it has pieces of FILE_BYTES, or twice as many as there are cores.
+    derive from; one kept as ``small`` has no more files than that has pieces of FILE_BYTES, or twice as many as there are cores.
     """
 
     def __init__(self, spark: SparkSession, source: DataFrame | None = None):
@@ -106,9 +106,10 @@ class Scratch:
         self.root = f"{shared_dir(spark).rstrip('/')}/sectorloom-{uuid.uuid4().hex}"
         self.kept: dict[int, tuple[DataFrame, str]] = {}
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, small: bool = False) -> DataFrame:
+        """The table as written. What makes a small one may not number its rows by partition: several meet in a task."""
         path = f"{self.root}/{uuid.uuid4().hex[:12]}"
-        (df if self.files is None else df.coalesce(self.files)).write.option("compression", "zstd").parquet(path)
+        (df.coalesce(self.files) if small and self.files else df).write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.kept[id(out)] = (out, path)
         return out

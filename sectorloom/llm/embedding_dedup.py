@@ -218,13 +218,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, tables: int = TABL
     classes = scratch.keep(classes.withColumn("cid", F.monotonically_increasing_id()))
     own = classes.select("cid", "copies", "vector")
     sizes = own.mapInArrow(_in_cells(options, kind, False), "bucket long").groupBy("bucket").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("tiles > 1")
-    sizes = scratch.keep(sizes)
+    sizes = scratch.keep(sizes, small=True)
     rows = own.mapInArrow(lean(_in_cells(options, kind, True)), "bucket long, cid long, copies long, vector binary, codes binary")
     rows = rows.join(sizes, "bucket", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.select("bucket", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "tile", "cid", "copies", "vector", "codes")
     rows = rows.repartition(shuffle_partitions(spark), "bucket", "ta", "tb").sortWithinPartitions("bucket", "ta", "tb")
-    found = scratch.keep(rows.mapInArrow(lean(_compare(threshold, kind)), "a long, b long, links long"))
+    found = scratch.keep(rows.mapInArrow(lean(_compare(threshold, kind)), "a long, b long, links long"), small=True)
     counts = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
     comps = components(found.where("b is not null").select("a", "b"), scratch)
     named = classes.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))

@@ -412,17 +412,17 @@ def _by_bitmaps(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
 
 def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """The pairs of classes, a < b, that the exact overlap confirms."""
-    likely = scratch.keep(pairs)
+    likely = scratch.keep(pairs, small=True)
     size = likely.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
     stars = likely.join(size, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
     stars = stars.union(size.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("b")))
-    wanted = scratch.keep(stars.join(nodes.select(F.col("rep").alias("b"), "doc_id", "k1"), "b"))
+    wanted = scratch.keep(stars.join(nodes.select(F.col("rep").alias("b"), "doc_id", "k1"), "b"), small=True)
     ids = wanted.select("doc_id").distinct()
     texts = docs.select("doc_id", "text")
     texts = texts.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= BROADCAST_IDS else texts
     rows = wanted.join(texts, "doc_id").select("a", "salt", "b", "k1", "text", (F.col("a") != F.col("b")).alias("later"))
     rows = rows.repartition(shuffle_partitions(docs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "later", "b").drop("later")
-    found = scratch.keep(rows.mapInArrow(lean(_verified(rule)), "a long, b long"))
+    found = scratch.keep(rows.mapInArrow(lean(_verified(rule)), "a long, b long"), small=True)
     scratch.drop(likely, wanted)
     return found
 
@@ -500,7 +500,7 @@ def _apart_in_tiles(tiles: DataFrame, comps: DataFrame, rule: Rule, nearest: boo
 def _groups(firsts: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """Classes (rid, n, tokens) -> what meets in the tokens' groups; the tokens that many send are salted."""
     counted = firsts.select("tokens").mapInArrow(lean(_repeated), "token long, n long").groupBy("token").agg(F.sum("n").alias("members"))
-    counted = scratch.keep(counted.where(f"token is null or members > {SPLIT}"))
+    counted = scratch.keep(counted.where(f"token is null or members > {SPLIT}"), small=True)
     total = counted.where("token is null").agg(F.max("members")).first()[0] or 0
     most = max(SPLIT, -(-total // BROADCAST_IDS))
     split = counted.where(f"token is not null and members > {most}").select("token", F.ceil(F.col("members") / most).cast("int").alias("parts"))
@@ -530,22 +530,22 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     classes = scratch.keep(classes)
     # tokens of a class stand in the first of its rows in each task; those of one of them count
     firsts = sets.where(f"{linkable} and tokens is not null")
-    spare = scratch.keep(firsts.select("rid").join(classes.select(F.col("rep").alias("rid")), "rid", "left_anti"))
+    spare = scratch.keep(firsts.select("rid").join(classes.select(F.col("rep").alias("rid")), "rid", "left_anti"), small=True)
     spare = F.broadcast(spare) if spare.count() <= BROADCAST_IDS else spare
     firsts = firsts.join(spare, "rid", "left_anti")
     nodes = scratch.keep(firsts.select(F.col("rid").alias("rep"), "doc_id", "k1", "n", "bits"))
     meets = scratch.keep(_groups(firsts, rule, scratch))
-    groups = scratch.keep(meets.where("token is not null").groupBy("token").agg(F.count("*").alias("classes"), F.min("a").alias("first")))
-    stands = scratch.keep(_stands(meets, nodes, groups, rule))
+    groups = scratch.keep(meets.where("token is not null").groupBy("token").agg(F.count("*").alias("classes"), F.min("a").alias("first")), small=True)
+    stands = scratch.keep(_stands(meets, nodes, groups, rule), small=True)
     links = _links(_by_bitmaps(_met(meets, stands), nodes, rule), nodes, docs, rule, scratch)
     comps = components(links, scratch)
     tiles = _tiles(meets, nodes, comps, groups, stands, rule, scratch)
     scratch.drop(meets)
     for left in range(ROUNDS, -1, -1):
-        found = scratch.keep(_apart_in_tiles(tiles, comps, rule, nearest=left > 0))
+        found = scratch.keep(_apart_in_tiles(tiles, comps, rule, nearest=left > 0), small=True)
         links = links.union(_links(found.where("a is not null").select("a", "b").distinct(), nodes, docs, rule, scratch))
         comps = components(links, scratch)
-        again = scratch.keep(found.where("token is not null").select("token", "ta", "tb").distinct())
+        again = scratch.keep(found.where("token is not null").select("token", "ta", "tb").distinct(), small=True)
         if not (blocks := again.count()):
             break
         tiles = tiles.join(F.broadcast(again) if blocks <= BROADCAST_IDS else again, ["token", "ta", "tb"], "left_semi")

@@ -120,7 +120,7 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int, scratch: Scratch) ->
             F.struct((F.col("blocks") - F.col("left")).alias("blocks"), F.col("mid").alias("lo"), F.col("hi").alias("hi")),
         )
         now = now.select("source_id", "all", F.explode(halves).alias("half")).select("source_id", "half.*", "all")
-        now = scratch.keep(now.where("blocks > 0 and hi > lo"))
+        now = scratch.keep(now.where("blocks > 0 and hi > lo"), small=True)
         width = (width + 1) // 2
     return now.select("source_id", F.col("lo").alias("shard"), "blocks")
 
@@ -157,14 +157,14 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     size = word_count(F.col("text").cast("string"))
     # the one table that planning needs: a row for each source and fine bucket at most
     light = docs.select("source", source_id.alias("source_id"), fine.alias("fine"), size.alias("size"))
-    buckets = scratch.keep(light.groupBy("source", "source_id", "fine").agg(F.sum("size").alias("bucket_size"), F.count("*").alias("bucket_rows")))
+    buckets = scratch.keep(light.groupBy("source", "source_id", "fine").agg(F.sum("size").alias("bucket_size"), F.count("*").alias("bucket_rows")), small=True)
 
     sums = buckets.groupBy("source", "source_id").agg(F.sum("bucket_size").alias("source_size"), F.sum("bucket_rows").alias("rows"))
     aimed = targets(sums.select("source", "source_size"), weights, most).withColumn("source_id", source_id)
     plan = aimed.select("source_id", "source_size", "target").join(sums.select("source_id", "rows"), "source_id")
     plan = plan.withColumn("n_blocks", F.greatest(F.lit(1), F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("rows") / BLOCK_DOCS))).cast("long"))
     plan = plan.withColumn("want", F.round("target").cast("long")).withColumn("passes", F.when(F.col("source_size") > 0, F.expr("want div source_size")).otherwise(F.lit(0)).cast("long"))
-    plan = scratch.keep(plan.withColumn("remain", F.col("want") - F.col("passes") * F.col("source_size")))
+    plan = scratch.keep(plan.withColumn("remain", F.col("want") - F.col("passes") * F.col("source_size")), small=True)
 
     def block_of(fine_bucket: str) -> Column:
         return F.expr(f"{fine_bucket} * n_blocks div {MOST_BLOCKS}")
@@ -175,7 +175,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     blocks = blocks.withColumn("place", F.row_number().over(order).cast("long") - 1).withColumn("in_pass", F.count("*").over(Window.partitionBy("source_id")))
     blocks = blocks.withColumn("begins", F.sum("block_size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("block_size"))
     last = F.least(F.greatest(F.col("remain") - F.col("begins"), F.lit(0)), F.col("block_size"))
-    blocks = scratch.keep(blocks.withColumn("last_words", last).withColumn("drawn", F.col("passes") + F.when(last > 0, F.lit(1)).otherwise(F.lit(0))))
+    blocks = scratch.keep(blocks.withColumn("last_words", last).withColumn("drawn", F.col("passes") + F.when(last > 0, F.lit(1)).otherwise(F.lit(0))), small=True)
 
     # a source's block copies, pass by pass, are dealt in runs to the shards
     shares = split_quotas(blocks.groupBy("source_id").agg(F.sum("drawn").alias("blocks")), shards, seed + 3, scratch)
@@ -187,7 +187,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
         return F.struct(p.alias("pass"), F.get(F.filter("runs", lambda r: r["to"] > p * F.col("in_pass") + F.col("place")), F.lit(0))["shard"].alias("shard"))
 
     draws = F.when(F.col("drawn") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("drawn") - 1, F.lit(0).cast("long"))), drawn))
-    placed = scratch.keep(blocks.join(runs, "source_id", "left").select("source_id", "block", "last_words", draws.alias("draws")))
+    placed = scratch.keep(blocks.join(runs, "source_id", "left").select("source_id", "block", "last_words", draws.alias("draws")), small=True)
 
     own = F.struct(*[F.col(c) for c in docs.columns if c != "mix"]).alias("own")
     rows = docs.select(own, source_id.alias("source_id"), rid.alias("rid"), fine.alias("fine"), size.alias("size"))

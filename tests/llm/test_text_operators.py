@@ -73,13 +73,13 @@ def brute_components(rows):
     return {i: least[find(k)] for k, (i, _) in enumerate(sets)}
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_jaccard_components(spark, monkeypatch, small):
+@pytest.mark.parametrize(("small", "parts"), [(True, 3), (False, 3), (False, 40)])
+def test_jaccard_components(spark, monkeypatch, small, parts):
     if small:  # all sizes small, so that tiles, hot groups and stars all take part
         for name, value in (("SMALL", 2), ("TILE", 3), ("HOT", 5), ("STAR", 2), ("SPLIT", 3)):
             monkeypatch.setattr(jaccard_join, name, value)
     rows = corpus()
-    got = jaccard_join.jaccard_components(make(spark, rows)).collect()
+    got = jaccard_join.jaccard_components(make(spark, rows).repartition(parts)).collect()
     assert len(got) == len(rows)
     want = brute_components(rows)
     assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == want
