@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from decimal import Decimal
 
 import pyarrow as pa
@@ -70,23 +70,29 @@ def stream_hashes(chunks: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "data").mapInArrow(_rolling(key), f"{key} {kind}, size long, md5 string, sha1 string")
 
 
-def pack(sizes: DataFrame, key: str, order: list[str], size: str, limit: int) -> DataFrame:
+def pack(sizes: DataFrame, key: str, order: list[str], size: str, limit: int, cost: Callable[[int, int, int], int] | None = None, group: tuple[int, int] = (1 << 62, 1 << 62)) -> DataFrame:
     """Greedy next-fit: adds ``segment`` from 1; a segment holds one row at least and ends before it would exceed ``limit``.
 
-    The reset depends on the running total, so a key's sizes pass through one task in order, which holds
-    two numbers of them; keys spread over tasks.
+    A segment's size is the sum of its rows, or ``cost`` of their number, their sum and how many groups of
+    at most (rows, bytes) they make. The reset depends on the running total, so a key's sizes pass through
+    one task in order, which holds a few numbers of them; keys spread over tasks.
     """
+    total = cost or (lambda rows, used, groups: used)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, used, segment = object(), 0, 0
+        now, segment, rows, used, groups, own = object(), 0, 0, 0, 0, (0, 0)
         for batch in batches:
             out = []
             for k, n in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                full = own[0] >= group[0] or own[0] > 0 and own[1] + n > group[1]
+                more = groups + (groups == 0 or full)
                 if k != now:
-                    now, used, segment = k, 0, 1
-                if used > 0 and used + n > limit:
-                    used, segment = 0, segment + 1
-                used += n
+                    now, segment = k, 0
+                if segment == 0 or (rows if cost else used) > 0 and total(rows + 1, used + n, more) > limit:
+                    segment, rows, used, groups, own = segment + 1, 1, n, 1, (1, n)
+                else:
+                    rows, used, groups = rows + 1, used + n, more
+                    own = (1, n) if full else (own[0] + 1, own[1] + n)
                 out.append(segment)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "segment"])
 
@@ -152,9 +158,9 @@ def overlay(writes: DataFrame, key: str, chunk: int) -> DataFrame:
     kind = writes.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, laid = None, bytearray()
+        now, laid, of = None, bytearray(), None
         for b in batches:
-            keys, rows = [], []
+            keys, rows, of = [], [], b.schema.field(0).type
             for k, i, place, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (k, i) != now:
                     if now is not None:
@@ -164,9 +170,9 @@ def overlay(writes: DataFrame, key: str, chunk: int) -> DataFrame:
                 if len(laid) < place + len(data):
                     laid.extend(bytes(place + len(data) - len(laid)))
                 laid[place : place + len(data)] = data
-            yield batch(keys, rows, b.schema.field(0).type)
+            yield batch(keys, rows, of)
         if now is not None:
-            yield batch([now], [bytes(laid)], None)
+            yield batch([now], [bytes(laid)], of)
 
     def batch(keys, rows, of):
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], of), pa.array([i for _, i in keys], pa.int64()), pa.array(rows, pa.binary())], names=[key, "chunk_index", "data"])

@@ -1,74 +1,171 @@
 """Writing containers: chunks are encoded where they are, segments are packed by size, one task builds each.
 
-The packing looks at (chunk, stored size) alone; payloads move once, to their segment's task. Files go
-to a path that all executors share, under a temporary name until the segment is whole.
+The packing looks at (chunk, stored size) alone; payloads move once, to their segment's task, which
+passes them on chunk by chunk. Files go to a path that all executors share, under temporary names until
+every segment is whole, so that a set may be written anew from its own chunks.
 """
 
 from __future__ import annotations
 
+import io
 import itertools
 import os
 import uuid
 from collections.abc import Iterator
+from dataclasses import replace
+from decimal import Decimal
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sectorloom.kernels import build
-from sectorloom.kernels.codec import encode
-from sectorloom.operators.chunks import pack, stream_hashes
+from sectorloom.kernels.codec import Malformed, decode, encode
+from sectorloom.operators.chunks import overlay, pack, stream_hashes
+from sectorloom.sources.ewf import read_ewf
 
-#: Bytes of a segment besides its chunks: headers, volume and descriptors, about.
-OVERHEAD = 4096
+ENCODED = "chunk_index long, encoding string, stored binary, pattern binary"
+
+
+def _wanted(i: int, options: build.Options, size: int) -> int:
+    """Bytes of chunk i: the last is padded to whole sectors."""
+    last = (size - 1) // options.chunk_size
+    return options.chunk_size if i < last else -(-(size - last * options.chunk_size) // options.bytes_per_sector) * options.bytes_per_sector
+
+
+def _encoded(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+    kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["chunk_index", "encoding", "stored", "pattern"])
+
+
+def _stored(i: int, data: bytes, options: build.Options, size: int) -> tuple:
+    want = _wanted(i, options, size)
+    if len(data) > want:
+        raise ValueError(f"chunk {i} holds {len(data)} bytes, {want} at most")
+    kind, stored, word = encode(data.ljust(want, b"\0"), options.chunk_size, options.method, options.level, patterns=options.second)
+    return i, kind, stored, None if word is None else word.to_bytes(8, "little")
 
 
 def encode_chunks(chunks: DataFrame, options: build.Options, size: int) -> DataFrame:
     """(chunk_index, data) -> (chunk_index, encoding, stored, pattern); the last chunk is padded to whole sectors."""
-    last = (size - 1) // options.chunk_size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _encoded([_stored(i, data, options, size) for i, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)])
+
+    return chunks.select("chunk_index", "data").mapInArrow(run, ENCODED)
+
+
+def passed_chunks(encoded: DataFrame, options: build.Options, size: int, chunk_size: int) -> DataFrame:
+    """An image's ``encoded_chunks`` as stored, each if it is whole, of this chunk size and in an encoding that the options write; else encoded anew."""
+    own = {"raw"} | ({"pattern"} if options.second else set()) | ({options.method} if options.method != "none" else set())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for i, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                want = options.chunk_size if i < last else -(-(size - last * options.chunk_size) // options.bytes_per_sector) * options.bytes_per_sector
-                if len(data) > want:
-                    raise ValueError(f"chunk {i} holds {len(data)} bytes, {want} at most")
-                kind, stored, word = encode(data.ljust(want, b"\0"), options.chunk_size, options.method, options.level, patterns=options.second)
-                rows.append((i, kind, stored, None if word is None else word.to_bytes(8, "little")))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["chunk_index", "encoding", "stored", "pattern"])
+            for i, n, kind, word, checked, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                whole = decode(kind, data, n, None if word is None else int(word), checked)
+                if kind in own and chunk_size == options.chunk_size and n == _wanted(i, options, size) and (kind != "raw" or checked and len(data) == n + 4):
+                    rows.append((i, kind, data, int(word).to_bytes(8, "little") if isinstance(word, Decimal) else None))
+                else:
+                    rows.append(_stored(i, whole, options, size))
+            yield _encoded(rows)
 
-    return chunks.select("chunk_index", "data").mapInArrow(run, "chunk_index long, encoding string, stored binary, pattern binary")
+    return encoded.select("chunk_index", "logical_size", "encoding", "pattern", "has_checksum", "data").mapInArrow(run, ENCODED)
 
 
-def write_ewf(chunks: DataFrame, stem: str, size: int, options: build.Options | None = None, segment_size: int | None = None, terminal: bool = True, mirror: str | None = None) -> list[str]:
+def write_ewf(chunks: DataFrame, stem: str, size: int, options: build.Options | None = None, segment_size: int | None = None, terminal: bool = True, mirror: str | None = None, stored: DataFrame | None = None) -> list[str]:
     """Writes chunks (chunk_index, data) of a stream of ``size`` bytes as ``stem``.E01 and so on; returns the paths.
 
-    ``chunk_index`` runs from 0 without gaps. ``segment_size`` splits greedily; a segment takes one chunk
-    at least. Without ``terminal`` the set ends by "next", so that it can be resumed by writing its chunks
-    and more again. ``mirror``: the stem of a second, equal copy. Hashes of the padded stream are stored.
+    ``chunk_index`` runs from 0 without gaps. ``segment_size`` splits greedily by a segment's whole size; a
+    segment takes one chunk at least. Without ``terminal`` the set ends by "next", so that it can be resumed by
+    writing its chunks and more again. ``mirror``: the stem of a second, equal copy elsewhere. Hashes of the
+    padded stream are stored. ``stored``: the chunks as they are to be stored, if they are already encoded.
     """
     options = options or build.Options()
+    if mirror is not None and os.path.normpath(os.path.abspath(mirror)) == os.path.normpath(os.path.abspath(stem)):
+        raise ValueError("the copy must lie elsewhere")
+    options.check_ranges(-(-size // options.bytes_per_sector))
+    token = uuid.uuid4().hex
+    segments, rows, held = _segments(chunks, stored, size, options, segment_size, terminal, lambda *a: _to_files(stem, mirror, token, *a))
+    written = rows.select("segment", "path").collect()
+    held.unpersist()
+    if not segments:
+        raise ValueError("no chunks were given")
+    for number in range(1, segments + 1):
+        for at in filter(None, (stem, mirror)):
+            path = build.segment_name(at, options.format, number)
+            os.replace(f"{path}.{token}", path)
+    for at in filter(None, (stem, mirror)):
+        remove_stale(at, options.format, segments)
+    return [r["path"] for r in sorted(written, key=lambda r: r["segment"])]
+
+
+def segments_ewf(chunks: DataFrame, size: int, options: build.Options | None = None, segment_size: int | None = None, stem: str = "image") -> DataFrame:
+    """(segment, path, content): the segments as rows instead of files, for a sink of the caller's own; each must fit a value."""
+    options = options or build.Options()
+    options.check_ranges(-(-size // options.bytes_per_sector))
+    return _segments(chunks, None, size, options, segment_size, True, lambda *a: _to_rows(stem, *a))[1]
+
+
+def _segments(chunks: DataFrame, stored: DataFrame | None, size: int, options: build.Options, segment_size: int | None, terminal: bool, sink) -> tuple[int, DataFrame, DataFrame]:
     padded = -(-size // options.bytes_per_sector) * options.bytes_per_sector
-    stored = encode_chunks(chunks, options, size).persist()
-    try:
-        n = stored.count()
-        if n != -(-size // options.chunk_size):
-            raise ValueError(f"{n} chunks can't hold {size} bytes")
-        sizes = stored.select(F.lit(0).alias("k"), "chunk_index", (F.octet_length("stored") + 8).alias("size"))
-        packed = pack(sizes, "k", ["chunk_index"], "size", max(1, (segment_size or 1 << 62) - OVERHEAD)) if segment_size else sizes.withColumn("segment", F.lit(1).cast("long"))
-        bounds = packed.groupBy("segment").agg(F.min("chunk_index").alias("first"), F.count("*").alias("chunks"), F.max("segment").alias("s"))
-        segments = bounds.agg(F.max("segment")).first()[0] or 0
-        hashes = _padded_hashes(chunks, options, size, padded) if terminal else None
-        rows = stored.join(packed.select("chunk_index", "segment"), "chunk_index").join(bounds.select("segment", "first"), "segment")
-        rows = rows.select("segment", "first", "chunk_index", "encoding", "stored", "pattern").repartition(max(1, segments), "segment").sortWithinPartitions("segment", "chunk_index")
-        written = rows.mapInArrow(_writer(stem, mirror, options, n, padded, segments, terminal, hashes), "segment long, path string").collect()
-    finally:
+    n = -(-size // options.chunk_size)
+    stored = (encode_chunks(chunks, options, size) if stored is None else stored).persist()
+    found = stored.agg(F.count("*").alias("n"), F.count_distinct("chunk_index").alias("d"), F.min("chunk_index").alias("lo"), F.max("chunk_index").alias("hi")).first()
+    if (found["n"], found["d"]) != (n, n) or n and (found["lo"], found["hi"]) != (0, n - 1):
         stored.unpersist()
-    remove_stale(stem, options.format, segments)
-    return [r["path"] for r in sorted(written, key=lambda r: r["segment"])]
+        raise ValueError(f"{found['n']} chunks can't hold {size} bytes")
+    sizes = stored.select(F.lit(0).alias("k"), "chunk_index", F.octet_length("stored").cast("long").alias("size"))
+    group = (1 << 62, 1 << 62) if options.second else (build.GROUP_ENTRIES, build.GROUP_BYTES)
+    packed = pack(sizes, "k", ["chunk_index"], "size", segment_size, build.segment_cost(options, padded, n), group) if segment_size else sizes.withColumn("segment", F.lit(1).cast("long"))
+    bounds = packed.groupBy("segment").agg(F.min("chunk_index").alias("first"))
+    segments = bounds.agg(F.max("segment")).first()[0] or 0
+    hashes = _padded_hashes(chunks, options, size, padded) if terminal else None
+    rows = stored.join(packed.select("chunk_index", "segment"), "chunk_index").join(F.broadcast(bounds), "segment")
+    rows = rows.select("segment", "first", "chunk_index", "encoding", "stored", "pattern").repartition(max(1, segments), "segment").sortWithinPartitions("segment", "chunk_index")
+    return segments, rows.mapInArrow(_writer(options, n, padded, segments, terminal, hashes, sink), "segment long, path string, content binary"), stored
+
+
+def copy_ewf(spark: SparkSession, path: str | list[str], stem: str, segment_size: int | None = None, mirror: str | None = None, **changes) -> list[str]:
+    """Writes an image anew with its media, headers, ranges and catalog, and the given options changed; stored hashes are computed, not copied.
+
+    Chunks that the new container can hold as they are stored aren't encoded again.
+    """
+    image = read_ewf(spark, path, "images").first()
+    listed = lambda table, *columns: tuple(tuple(r) for r in read_ewf(spark, path, table).orderBy("ordinal").select(*columns).collect())
+    known = {
+        "format": "S01" if image["profile"] == "smart" else image["format"], "sectors_per_chunk": image["sectors_per_chunk"], "bytes_per_sector": image["bytes_per_sector"], "method": image["compression_method"],
+        "headers": {r["identifier"]: r["value"] for r in read_ewf(spark, path, "header_values").collect()}, "media_type": image["media_type"], "fastbloc": image["fastbloc"], "tableau": image["tableau"], "error_granularity": image["error_granularity"] or 0,
+        "errors": listed("acquisition_errors", "first_sector", "sector_count"), "sessions": listed("sessions", "first_sector", "sector_count"), "tracks": listed("tracks", "first_sector", "sector_count"), "memory_extents": listed("memory_extents", "start_page", "page_count"),
+    }
+    if image["set_identifier"]:
+        known["set_identifier"] = bytes(image["set_identifier"])
+    options = replace(build.Options(), **known | {"catalog": read_catalog(path)} | changes)
+    size = image["logical_size"]
+    if options.chunk_size != image["chunk_size"]:
+        whole = read_ewf(spark, path, "chunks").select(F.lit(0).alias("k"), F.col("logical_offset").alias("offset"), F.lit(0).alias("seq"), "data")
+        return write_ewf(overlay(whole, "k", options.chunk_size), stem, size, options, segment_size, mirror=mirror)
+    stored = passed_chunks(read_ewf(spark, path, "encoded_chunks"), options, size, image["chunk_size"])
+    return write_ewf(read_ewf(spark, path, "chunks"), stem, size, options, segment_size, mirror=mirror, stored=stored)
+
+
+def read_catalog(path: str | list[str]):
+    """The catalog of an image as the builder takes it, or none."""
+    from sectorloom.sources.ewf import Image, discover, opened
+
+    return Image(opened(path if isinstance(path, list) else discover(path)[0]), "").catalog
+
+
+def resume_ewf(spark: SparkSession, path: str, writes: DataFrame, size: int, options: build.Options, segment_size: int | None = None) -> list[str]:
+    """Continues a set that ends by "next": its chunks, laid over by writes (offset, seq, data), are written whole under the same stem."""
+    image = read_ewf(spark, path, "images").first()
+    if image["acquisition_complete"]:
+        raise ValueError("the set is complete")
+    kept = read_ewf(spark, path, "chunks").select(F.lit(0).alias("k"), F.col("logical_offset").alias("offset"), F.lit(-1).cast("long").alias("seq"), "data")
+    more = writes.select(F.lit(0).alias("k"), F.col("offset").cast("long"), F.col("seq").cast("long"), "data")
+    return write_ewf(overlay(kept.union(more), "k", options.chunk_size), os.path.splitext(path)[0], size, options, segment_size)
 
 
 def _padded_hashes(chunks: DataFrame, options: build.Options, size: int, padded: int) -> tuple[str, str]:
@@ -79,7 +176,7 @@ def _padded_hashes(chunks: DataFrame, options: build.Options, size: int, padded:
     return row["md5"], row["sha1"]
 
 
-def _writer(stem: str, mirror: str | None, options: build.Options, chunk_count: int, size: int, segments: int, terminal: bool, hashes: tuple[str, str] | None):
+def _writer(options: build.Options, chunk_count: int, size: int, segments: int, terminal: bool, hashes: tuple[str, str] | None, sink):
     def chunks_of(rows: Iterator[tuple], segment: int, held: list) -> Iterator[build.Stored]:
         for r in rows:
             if r[0] != segment:
@@ -90,31 +187,46 @@ def _writer(stem: str, mirror: str | None, options: build.Options, chunk_count:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
         head = next(rows, None)
-        done: list[tuple[int, str]] = []
         while head is not None:
             segment, first, held = head[0], head[1], []
             own = chunks_of(itertools.chain([head], rows), segment, held)
             last = segment == segments and terminal
-            parts = build.second_generation(options, segment, own, first, chunk_count, size, last, hashes) if options.second else build.first_generation(options, segment, own, chunk_count, size, last, hashes)
-            path = build.segment_name(stem, options.format, segment)
-            temporary = f"{path}.{uuid.uuid4().hex}"
-            with open(temporary, "wb") as f:
-                for p in parts:
-                    f.write(p)
-            if mirror:
-                copy = build.segment_name(mirror, options.format, segment)
-                with open(temporary, "rb") as a, open(f"{copy}.part", "wb") as b:
-                    while piece := a.read(1 << 20):
-                        b.write(piece)
-                os.replace(f"{copy}.part", copy)
-            os.replace(temporary, path)
-            done.append((segment, path))
+
+            def put(f, segment=segment, first=first, own=own, last=last) -> None:
+                if options.second:
+                    build.second_generation(options, f, segment, own, first, chunk_count, size, last, hashes)
+                else:
+                    build.first_generation(options, f, segment, own, chunk_count, size, last, hashes)
+
+            path, content = sink(options, segment, put)
+            yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int64()), pa.array([path]), pa.array([content], pa.binary())], names=["segment", "path", "content"])
             head = held[0] if held else None
-        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in done], pa.int64()), pa.array([p for _, p in done], pa.string())], names=["segment", "path"])
 
     return run
 
 
+def _to_files(stem: str, mirror: str | None, token: str, options: build.Options, segment: int, put) -> tuple[str, None]:
+    """A segment under a temporary name, and its copy; an attempt's file replaces an earlier attempt's."""
+    path = build.segment_name(stem, options.format, segment)
+    own = f"{path}.{uuid.uuid4().hex}"
+    with open(own, "w+b") as f:
+        put(f)
+    if mirror:
+        copy = f"{build.segment_name(mirror, options.format, segment)}.{token}"
+        with open(own, "rb") as a, open(f"{copy}.part", "wb") as b:
+            while piece := a.read(1 << 20):
+                b.write(piece)
+        os.replace(f"{copy}.part", copy)
+    os.replace(own, f"{path}.{token}")
+    return path, None
+
+
+def _to_rows(stem: str, options: build.Options, segment: int, put) -> tuple[str, bytes]:
+    f = io.BytesIO()
+    put(f)
+    return build.segment_name(stem, options.format, segment), f.getvalue()
+
+
 def remove_stale(stem: str, format: str, segments: int) -> None:
     """Deletes the segments that follow the last one, up to the first that is missing."""
     while os.path.exists(path := build.segment_name(stem, format, segments + 1)):
