@@ -22,6 +22,8 @@ BATCH_BYTES = 2 << 20
 BATCH_ROWS = 2000
 #: Bytes of input for each file of a derived table, so that no table consists of tiny files.
 FILE_BYTES = 16 << 20
+#: Files of a small table at most, whatever the estimate; it is boundless for rows that no file holds.
+MOST_FILES = 100_000
 #: Bytes of text whose words are hashed in one vectorised step.
 PIECE_BYTES = 1 << 20
 
@@ -102,7 +104,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, source: DataFrame | None = None):
         self.spark = spark
-        self.files = None if source is None else max(2 * spark.sparkContext.defaultParallelism, planned_bytes(source) // FILE_BYTES)
+        self.files = None if source is None else min(MOST_FILES, max(2 * spark.sparkContext.defaultParallelism, planned_bytes(source) // FILE_BYTES))
         self.root = f"{shared_dir(spark).rstrip('/')}/sectorloom-{uuid.uuid4().hex}"
         self.kept: dict[int, tuple[DataFrame, str]] = {}
 
