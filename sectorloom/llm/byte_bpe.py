@@ -31,6 +31,8 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: A block ends at so many distinct words or so many characters.
 BLOCK_WORDS = 300_000
 BLOCK_CHARS = 48 << 20
+#: Words of a bucket that a task remembers at once; one that comes after more of them is encoded again.
+KNOWN = 500_000
 #: Documents in a row of the table of blocks.
 ROW_DOCS = 100
 
@@ -170,11 +172,11 @@ def _encode_words(path: str):
     """The blocks' packed words of each bucket -> the same with ids; a distinct word is encoded once."""
 
     def run(batches):
-        encode, of, known = encoding(path)._encode_single_piece, None, {}
+        encode, of, known = encoding(path).encode_ordinary, None, {}
         for batch in batches:
             rows = []
             for block, bucket, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if bucket != of:
+                if bucket != of or len(known) > KNOWN:
                     of, known = bucket, {}
                 (numbers, lengths), data = _unpack(payload)
                 ends = np.cumsum(lengths).tolist()
@@ -183,7 +185,7 @@ def _encode_words(path: str):
                     word, at = data[at:end], end
                     got = known.get(word)
                     if got is None:
-                        got = known[word] = encode(word)
+                        got = known[word] = encode(word.decode())
                     ids.append(got)
                 counts = np.array([len(x) for x in ids])
                 rows.append((block, bucket, None, _pack(numbers, counts, np.array([i for x in ids for i in x]))))

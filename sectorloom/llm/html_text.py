@@ -288,24 +288,54 @@ class _Flow:
         return "\n".join(self.lines).strip("\n")
 
 
-def _table(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Cells in columns as wide as their widest line; a wide cell spans columns without widening them."""
-    widths: list[int] = []
-    for row in rows:
-        at = 0
-        for text, span in row:
-            widths += [0] * (at + span - len(widths))
-            if span == 1:
-                widths[at] = max(widths[at], *map(len, text.split("\n")))
-            at += span
+#: Columns are padded up to so many characters each, and lines up to so many before a cell; text beyond is kept, two spaces apart.
+WIDEST, FARTHEST = 80, 400
+#: Rows that a cell may span.
+ROWS = 65534
+#: A cell's text, and how many columns and rows it spans.
+Cell = tuple[str, int, int]
+
+
+def _placed(rows: list[list[Cell]]) -> list[list[tuple[int, str, int]]]:
+    """(column, text, span) of each row's cells; the columns of a cell that spans rows stay free below it."""
+    taken: dict[int, int] = {}
     out = []
     for row in rows:
-        parts, at = [], 0
-        for text, span in row:
-            parts.append((text.split("\n"), sum(widths[at : at + span]) + 2 * (span - 1)))
+        at, own, down = 0, [], {}
+        for text, span, height in row:
+            while at in taken:
+                at += 1
+            own.append((at, text, span))
+            if height > 1:
+                down |= dict.fromkeys(range(at, at + span), height)
             at += span
-        for k in range(max((len(lines) for lines, _ in parts), default=0)):
-            out.append("  ".join((lines[k] if k < len(lines) else "").ljust(w) for lines, w in parts).rstrip())
+        taken = {c: n - 1 for c, n in (taken | down).items() if n > 1}
+        out.append(own)
+    return out
+
+
+def _table(rows: list[list[Cell]]) -> list[str]:
+    """Cells in columns as wide as their widest line; a cell that spans columns doesn't widen them."""
+    placed = _placed(rows)
+    widths: dict[int, int] = {}
+    for row in placed:
+        for at, text, span in row:
+            wide = max(map(len, text.split("\n"))) if span == 1 else 0
+            widths[at] = max(widths.get(at, 0), min(wide, WIDEST))
+    begins, begin = {}, 0
+    for at in sorted(widths):
+        begins[at] = min(begin, FARTHEST)
+        begin += widths[at] + 2
+    out = []
+    for row in placed:
+        cells = [(begins[at], text.split("\n")) for at, text, _ in row]
+        for k in range(max((len(lines) for _, lines in cells), default=0)):
+            line = ""
+            for begin, lines in cells:
+                if k < len(lines) and lines[k]:
+                    line = line.ljust(begin) if not line or len(line) + 2 <= begin else line + "  "
+                    line += lines[k]
+            out.append(line.rstrip())
     return out
 
 
@@ -337,7 +367,7 @@ def render(source: str) -> str:
     """The visible text of an HTML source."""
     root, styles = parse(source)
     flows = [_Flow()]
-    tables: list[list[list[tuple[str, int]]]] = []
+    tables: list[list[list[Cell]]] = []
     lists: list[list] = []
     pre, dark = 0, [False]
     work: list = [(root, root, False)]
@@ -400,10 +430,12 @@ def render(source: str) -> str:
         if tag == "q":
             flow.text("”")
         elif tag in CELLS and tables:
-            span = node.attrs.get("colspan", "1")
+            span, height = node.attrs.get("colspan", "1"), node.attrs.get("rowspan", "1")
             if not tables[-1]:
                 tables[-1].append([])
-            tables[-1][-1].append((flow.whole(), min(1000, int(span)) if re.fullmatch("[1-9][0-9]{0,5}", span) else 1))
+            # no rows means all that follow
+            height = int(height) or ROWS if re.fullmatch("[0-9]{1,5}", height) else 1
+            tables[-1][-1].append((flow.whole(), min(1000, int(span)) if re.fullmatch("[1-9][0-9]{0,5}", span) else 1, height))
             flows.pop()
         elif tag == "table":
             flow.end_line()

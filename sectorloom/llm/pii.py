@@ -94,26 +94,35 @@ _plain |= {base + i: str(i) for base in (0x0660, 0x06F0, 0x0966) for i in range(
 _plain |= {ord(c): "" for c in INVISIBLE}
 _odd = re.compile("[" + "".join(re.escape(chr(c)) for c in _plain) + "]")
 
-# fixed values: spelled digits
-SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_number = "(?:" + "|".join(SPELLED) + ")"
-_spelled = re.compile(rf"\b(?:plus[ -]+)?{_number}(?:[ ,.-]+(?:{_number}|[0-9]+)\b){{6,}}", re.I)
-_said = re.compile(rf"plus|{_number}|[0-9]+", re.I)
+# fixed values: digits spelled in English, German, French and Spanish; words for the at sign and the dot
+SPELLED = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
+_AT, _DOT = "(?:at|arroba|arobase)", "(?:dot|punkt|point|punto)"
+_PLUS = "(?:plus|más)"
+_number = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
+_spelled = re.compile(rf"\b(?:{_PLUS}[ -]+)?{_number}(?:[ ,.-]+(?:{_number}|[0-9]+)\b){{6,}}", re.I)
+# an octet or a digit of a longer run has a spelled neighbour
+_two = re.compile(rf"\b{_number}(?:[ ,.-]+(?:{_number}|[0-9])| +{_DOT} )|[0-9](?:[ ,.-]+| +{_DOT} +){_number}\b", re.I).search
+_said = re.compile(rf"{_PLUS}|{_number}|[0-9]+", re.I)
 _octet = rf"(?:{_number}(?:[ -]+{_number}){{0,2}}|[0-9]{{1,3}})"
-_spelled_ip = re.compile(rf"(?<!plus[ -])(?<![0-9.])\b{_octet}(?:(?: +dot +|\.){_octet}){{3}}(?![A-Za-z0-9])", re.I)
+_spelled_ip = re.compile(rf"(?<!plus[ -])(?<!más[ -])(?<![0-9.])\b{_octet}(?:(?: +{_DOT} +|\.){_octet}){{3}}(?![A-Za-z0-9])", re.I)
 # no octet begins within a longer run of numbers
 _run = re.compile(rf"(?:\b{_number}|[0-9])[ -]{{1,3}}$", re.I).search
-_point = re.compile(r" +dot +|\.", re.I)
+_point = re.compile(rf" +{_DOT} +|\.", re.I)
 
-_bracket = re.compile(r"[ ]?[\[({<][ ]?(at|dot|punkt|point|punto|arroba)[ ]?[\])}>][ ]?", re.I)
-_worded = re.compile(r"(?<![A-Za-z0-9._%+-])(?=[._%+-]*[A-Za-z0-9])[A-Za-z0-9._%+-]+( +at +)[A-Za-z0-9-]+((?:(?: +dot +|\.)[A-Za-z0-9-]+)+)(?![A-Za-z0-9-])", re.I)
+_bracket = re.compile(rf"[ ]?[\[({{<][ ]?({_AT}|{_DOT})[ ]?[\])}}>][ ]?", re.I)
+_worded = re.compile(r"(?<![A-Za-z0-9._%+-])(?=[._%+-]*[A-Za-z0-9])[A-Za-z0-9._%+-]+( +__AT__ +)[A-Za-z0-9-]+((?:(?: +__DOT__ +|\.)[A-Za-z0-9-]+)+)(?![A-Za-z0-9-])".replace("__AT__", _AT).replace("__DOT__", _DOT), re.I)
 # behind literal dots alone only a name counts as a domain: "at 10.30" is none
 _name = re.compile(r"[A-Za-z]{2,}|xn--[A-Za-z0-9-]+", re.I).fullmatch
-_worded_ip = re.compile(r"(?<![0-9])[0-9]{1,3}(?: +dot +[0-9]{1,3}){3}(?![0-9])", re.I)
-_mixed = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?: +dot +[A-Za-z0-9-]+)(?:(?: +dot +|\.)[A-Za-z0-9-]+)*", re.I)
-_dot = re.compile(r" +dot +", re.I)
+_worded_ip = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?: +{_DOT} +[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
+_mixed = re.compile(rf"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?: +{_DOT} +[A-Za-z0-9-]+)(?:(?: +{_DOT} +|\.)[A-Za-z0-9-]+)*", re.I)
+_dot = re.compile(rf" +{_DOT} +", re.I)
 # each of _bracket, _worded, _worded_ip and _mixed holds one of these
-_disguised = re.compile(r"[\[({<] ?(?:at|dot|punkt|point|punto|arroba) ?[\])}>]| (?:at|dot) ", re.I).search
+_disguised = re.compile(rf"[\[({{<] ?(?:{_AT}|{_DOT}) ?[\])}}>]| (?:{_AT}|{_DOT}) ", re.I).search
 
 Edit = tuple[int, int, str]
 
@@ -150,7 +159,7 @@ def _homoglyphs(tape: Tape) -> None:
 
 
 def _disguises(tape: Tape) -> None:
-    tape.rewrite([(m.start(), m.end(), "@" if m[1].lower() in ("at", "arroba") else ".") for m in _bracket.finditer(tape.text)])
+    tape.rewrite([(m.start(), m.end(), "@" if m[1].lower() in ("at", "arroba", "arobase") else ".") for m in _bracket.finditer(tape.text)])
     edits: list[Edit] = []
     for m in _worded.finditer(tape.text):
         if not _dot.search(m[2]) and not _name(m[2].rpartition(".")[2]):
@@ -185,7 +194,7 @@ def _digits(tape: Tape) -> None:
         for i, w in enumerate(said):
             end = said[i + 1].start() if i + 1 < len(said) else w.end()
             word = w[0].lower()
-            edits.append((w.start(), end if i + 1 < len(said) else w.end(), "+" if word == "plus" else SPELLED.get(word, w[0])))
+            edits.append((w.start(), end if i + 1 < len(said) else w.end(), "+" if word in ("plus", "más") else SPELLED.get(word, w[0])))
     tape.rewrite(edits)
 
 
@@ -197,8 +206,7 @@ def all_spans(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
         _homoglyphs(tape)
     if _disguised(tape.text):
         _disguises(tape)
-    low = tape.text.lower()
-    if any(w in low for w in SPELLED):
+    if _two(tape.text):
         _octets(tape)
         _digits(tape)
     if tape.starts is None:

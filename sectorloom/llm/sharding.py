@@ -80,23 +80,25 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, buc
 
     A null doc_id is a key like any other. Rows with one doc_id share a shard; a second hash over the
     whole record spreads them over its buckets. Equal rows are interchangeable. A null text has no bytes.
-    Columns named shard, grown_shard or slot are replaced. An empty table gives an empty result.
+    Columns named shard, grown_shard or slot are replaced; others may have any name. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     names = [c for c in docs.columns if c not in ("shard", "grown_shard", "slot")]
+    lead = "_" * (1 + max((len(c) - len(c.lstrip("_")) for c in docs.columns), default=0))  # no column begins so
+    bucket_, record_, begin_ = (f"{lead}{x}" for x in ("bucket", "record", "begin"))
     total = docs.agg(F.sum(record_size(F.col("text").cast("string")))).first()[0] or 0
     buckets = max(1, -(-total // (shards * bucket_bytes)))
     record = F.xxhash64(F.lit(seed + 1), "doc_id", "text")
-    keyed = docs.select(*names, shard_of(F.col("doc_id"), shards, seed).alias("shard"), shard_of(F.col("doc_id"), shards + 1, seed).alias("grown_shard"), F.pmod(record, F.lit(buckets)).alias("__bucket"), record.alias("__record"))
-    counts = keyed.groupBy("shard", "__bucket").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0))
-    begins = counts.select("shard", "__bucket", (upto - F.col("n")).alias("__begin"))
-    rows = keyed.join(begins, ["shard", "__bucket"]).select(*names, "shard", "grown_shard", "__bucket", "__begin", "__record")
-    rows = rows.repartition(shuffle_partitions(spark), "shard", "__bucket").sortWithinPartitions("shard", "__bucket", "__record", "doc_id")
+    keyed = docs.select(*names, shard_of(F.col("doc_id"), shards, seed).alias("shard"), shard_of(F.col("doc_id"), shards + 1, seed).alias("grown_shard"), F.pmod(record, F.lit(buckets)).alias(bucket_), record.alias(record_))
+    counts = keyed.groupBy("shard", bucket_).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("shard").orderBy(bucket_).rowsBetween(Window.unboundedPreceding, 0))
+    begins = counts.select("shard", bucket_, (upto - F.col("n")).alias(begin_))
+    rows = keyed.join(begins, ["shard", bucket_]).select(*names, "shard", "grown_shard", bucket_, begin_, record_)
+    rows = rows.repartition(max(shuffle_partitions(spark), shards * buckets), "shard", bucket_).sortWithinPartitions("shard", bucket_, record_, "doc_id")
     columns = [*names, "shard", "grown_shard"]
     schema = rows.select(*columns).schema.add("slot", "long")
-    at = [rows.columns.index(c) for c in ("shard", "__bucket", "__begin")]
+    at = [rows.columns.index(c) for c in ("shard", bucket_, begin_)]
     return rows.mapInArrow(lean(_shuffled(columns, at, seed)), schema)
 
 

@@ -190,6 +190,45 @@ def test_html_style_rules():
     assert shown("", "class=x", "<style media=print>.x{display:none}</style>") and shown("", "class=x", "<noscript><style>.x{display:none}</style></noscript>")
 
 
+def brute_table(rows):
+    """Cells (text, columns, rows) on a grid, each column's begin counted up from the widths; for texts of one line."""
+    grid, cells = set(), []
+    for i, row in enumerate(rows):
+        for text, span, height in row:
+            j = next(j for j in itertools.count() if (i, j) not in grid and all((i, k) not in grid or k < j for k in range(j + 1)) and (i, j) not in grid and j >= max((c + s for r, c, _, s in cells if r == i), default=0))
+            cells.append((i, j, text, span))
+            grid |= {(r, c) for r in range(i, i + height) for c in range(j, j + span)}
+    widths = {j: max([len(t) for _, c, t, s in cells if c == j and s == 1], default=0) for _, j, _, _ in cells}
+    begin = {j: sum(w + 2 for k, w in widths.items() if k < j) for j in widths}
+    out = []
+    for i in range(len(rows)):
+        line = ""
+        for r, j, text, _ in cells:
+            if r == i and text:
+                line = line + " " * max(begin[j] - len(line), 2 if line else 0) + text
+        out.append(line)
+    return "\n".join(out).strip("\n")
+
+
+def test_tables_against_a_grid():
+    rng = random.Random(31)
+    assert html_text.render("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>") == "a  b\n   c\nd  e"
+    assert html_text.render("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>") == "a  b\n   c\n   d"
+    for _ in range(200):
+        rows = [[("x" * rng.randrange(1, 9), rng.choice([1, 1, 1, 2, 3]), rng.choice([1, 1, 2, 3])) for _ in range(rng.randrange(1, 5))] for _ in range(rng.randrange(1, 6))]
+        source = "<table>" + "".join("<tr>" + "".join(f"<td colspan={s} rowspan={h}>{t}</td>" for t, s, h in row) + "</tr>" for row in rows) + "</table>"
+        assert html_text.render(source) == brute_table(rows), source
+
+
+def test_wide_tables_stay_near_their_text():
+    wide = "w" * 20_000
+    source = "<table>" + f"<tr><td>{wide}<td>x" + "<tr><td>a<td>b" * 3000 + "</table>"
+    text = html_text.render(source)
+    assert len(text) < 2 * len(source) * 5 and text.count("a" + " " * 81 + "b") == 3000 and wide + "  x" in text
+    steps = "<table>" + "".join(f"<tr><td colspan={i + 1}>{'y' * 80}<td>z" for i in range(900)) + "</table>"
+    assert len(html_text.render(steps)) < 900 * 600
+
+
 def test_html_on_tables(spark):
     rows = [(1, "<p>a", "old"), (2, None, "old"), (None, "", "old"), (1, "<p>a", "old")]
     got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, html string, text string")).collect()
@@ -440,6 +479,33 @@ def test_pii_disguises_alone():
     pii.all_spans("one " * 20_000 + "one dot " * 20_000 + "a at b." * 20_000)
 
 
+SPOKEN = {"en": ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"], "de": ["null", "eins", "zwei", "drei", "vier", "fünf", "sechs", "sieben", "acht", "neun"], "fr": ["zéro", "un", "deux", "trois", "quatre", "cinq", "six", "sept", "huit", "neuf"], "es": ["cero", "uno", "dos", "tres", "cuatro", "cinco", "seis", "siete", "ocho", "nueve"]}
+
+
+def test_sharding_with_reserved_names(spark):
+    docs = spark.createDataFrame([(i, f"t{i}", i, i, i) for i in range(50)], "doc_id long, text string, __bucket long, __begin long, __record long")
+    got = sharding.shard_documents(docs, shards=3).collect()
+    assert sorted((r["doc_id"], r["__bucket"], r["__begin"], r["__record"]) for r in got) == [(i, i, i, i) for i in range(50)]
+    assert sorted((r["shard"], r["slot"]) for r in got) == sorted((s, k) for s, n in collections.Counter(r["shard"] for r in got).items() for k in range(n))
+
+
+def test_disguised_identifiers_are_recalled():
+    """Identifiers disguised at random in four languages: all are found where they stand, and nothing in the prose around."""
+    rng = random.Random(17)
+    words = {"en": ("at", "dot"), "de": ("at", "punkt"), "fr": ("arobase", "point"), "es": ("arroba", "punto")}
+    found = total = 0
+    for _ in range(400):
+        lang = rng.choice(list(SPOKEN))
+        at, dot = words[lang]
+        name, site, end = (rng.choice(x) for x in (("jane.doe", "max", "j_roe"), ("firma", "site-1", "mail"), ("com", "de", "org")))
+        kind, hidden = rng.choice([("email", f"{name} {at} {site} {dot} {end}"), ("email", f"{name} [{at}] {site} ({dot}) {end}"), ("email", f"{name}@{site} {dot} {end}"), ("phone", "plus " + " ".join(rng.choice(SPOKEN[lang]) for _ in range(11))), ("ip", f" {dot} ".join(str(rng.randrange(256)) for _ in range(4))), ("email", f"{name}@{site}.{end}".replace("o", "\u043e").replace("a", "\u0430"))])
+        text = f"Lorem ipsum: {hidden}; dolor."
+        assert not any(pii.all_spans(text.replace(hidden, "sit amet"))[1].values())
+        total += 1
+        found += (13, 13 + len(hidden)) in pii.all_spans(text)[1][kind]
+    assert found == total
+
+
 def test_pii_on_tables(spark):
     rows = [(1, None), (2, ""), (3, "x a@b.co y"), (3, "x a@b.co y"), (None, "1.2.3.4")]
     docs = spark.createDataFrame([(*r, "clash", 0) for r in rows], "doc_id long, text string, pii string, n_chars int")
