@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from sectorloom.functions import codes as C
 from sectorloom.functions import scalar as S
+from sectorloom.kernels.build import Options
 from sectorloom.operators import catalog, chunks, ranges
 from sectorloom.plans.queries import _LINES, _SQL_CHUNKS, CHUNK, _chunks, _lines, _payloads, _table, query
+from sectorloom.sources.ewf import read_ewf
+from sectorloom.sources.sink import copy_ewf, folder, resume_ewf, write_ewf
 
 # ---------------------------------------------------------------- chunks: codecs, damage, positions
 
@@ -275,3 +278,70 @@ def attributes_codec(spark, sf_dir):
     own = F.array(F.struct(F.col("event_type").alias("name"), F.concat(F.lit("v"), F.col("user_id").cast("string")).alias("value")))
     rows = _table(spark, sf_dir, "events").select("event_id", F.explode(C.attributes_parsed(C.attributes_text(own))).alias("x"))
     return rows.select("event_id", "x.name", "x.value")
+
+
+# ---------------------------------------------------------------- whole containers
+
+_SQL_IMAGE = _SQL_CHUNKS + """SELECT row_number() OVER (ORDER BY doc_id, chunk_index) - 1 AS chunk_index, md5(unhex(rpad(hx, 1024, '0'))) AS md5 FROM c"""
+
+
+def _image(spark, sf_dir):
+    """All texts' chunks, padded to a sector, as the chunks of one medium; and their number."""
+    docs = _payloads(spark, sf_dir).where(F.octet_length("payload") > 0)
+    n = S.chunk_count(F.octet_length("payload").cast("long"), CHUNK)
+    begins = docs.select("doc_id", (F.sum(n).over(Window.orderBy("doc_id")) - n).alias("begin"))  # one row for each document
+    rows = _chunks(spark, sf_dir).join(begins, "doc_id").select((F.col("begin") + F.col("chunk_index")).alias("chunk_index"), F.unhex(F.rpad(F.hex("data"), 2 * CHUNK, "0")).alias("data"))
+    return rows, docs.agg(F.sum(n)).first()[0] or 0
+
+
+def _written(spark, sf_dir, format: str, **how) -> str:
+    rows, n = _image(spark, sf_dir)
+    stem = f"{folder(spark)}/image"
+    return write_ewf(rows, stem, n * CHUNK, Options(format, 1, CHUNK), **how)[0]
+
+
+def _digests(spark, path: str):
+    return read_ewf(spark, path).select("chunk_index", F.md5("data").alias("md5"))
+
+
+def _register(format: str) -> None:
+    def roundtrip(spark, sf_dir):
+        return _digests(spark, _written(spark, sf_dir, format))
+
+    roundtrip.__name__ = f"ewf_roundtrip_{format.lower()}"
+    query(_SQL_IMAGE)(roundtrip)
+
+
+for _format in ("E01", "L01", "S01", "Ex01", "Lx01"):
+    _register(_format)
+
+
+@query(_SQL_IMAGE)
+def ewf_split_multi(spark, sf_dir):
+    return _digests(spark, _written(spark, sf_dir, "E01", segment_size=60_000))
+
+
+@query(_SQL_IMAGE)
+def ewf_mirror(spark, sf_dir):
+    """Read from the second copy."""
+    copy = f"{folder(spark)}/copy"
+    _written(spark, sf_dir, "E01", mirror=copy)
+    return _digests(spark, f"{copy}.E01")
+
+
+@query(_SQL_IMAGE)
+def ewf_resume(spark, sf_dir):
+    """The first half is written without an end, then the set goes on with the rest."""
+    rows, n = _image(spark, sf_dir)
+    half, options = n // 2, Options("E01", 1, CHUNK)
+    if not half:
+        return _digests(spark, _written(spark, sf_dir, "E01"))
+    path = write_ewf(rows.where(F.col("chunk_index") < half), f"{folder(spark)}/image", half * CHUNK, options, terminal=False)[0]
+    more = rows.where(F.col("chunk_index") >= half).select((F.col("chunk_index") * CHUNK).alias("offset"), F.lit(0).alias("seq"), "data")
+    return _digests(spark, resume_ewf(spark, path, more, n * CHUNK, options)[0])
+
+
+@query(_SQL_IMAGE)
+def ewf_copy(spark, sf_dir):
+    """An image copied into the second generation."""
+    return _digests(spark, copy_ewf(spark, _written(spark, sf_dir, "E01"), f"{folder(spark)}/copy", format="Ex01")[0])

@@ -10,6 +10,8 @@ from __future__ import annotations
 import io
 import itertools
 import os
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import replace
@@ -27,6 +29,14 @@ from sectorloom.sources.ewf import read_ewf
 ENCODED = "chunk_index long, encoding string, stored binary, pattern binary"
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder for segments in the one that spark.checkpoint.dir names, or a temporary one where it is unset; driver and executors must mount it."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    path = os.path.join(re.sub("^file:/+", "/", found), f"sectorloom-{uuid.uuid4().hex}") if found else tempfile.mkdtemp(prefix="sectorloom-")
+    os.makedirs(path, exist_ok=True)
+    return path
+
+
 def _wanted(i: int, options: build.Options, size: int) -> int:
     """Bytes of chunk i: the last is padded to whole sectors."""
     last = (size - 1) // options.chunk_size
