@@ -44,3 +44,31 @@ def test_stages(spark, tmp_path):
     for r in seen["tokens"]:
         assert list(r["ids"]) == plain.encode_ordinary(texts[r["doc_id"]])
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+def stages(spark, folder, rows, labels):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(folder / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+    docs, seen = spark.read.parquet(str(folder / "documents.parquet")), {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, str(folder)).write.parquet(str(folder / name))
+        docs = spark.read.parquet(str(folder / name))
+        seen[name] = docs.collect()
+    return seen
+
+
+def test_stages_on_hard_rows(spark, tmp_path):
+    """Nulls in any column, empty texts, repeated rows: defined results, and no crash."""
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(None, text + " here", None, None, None), (1, None, None, None, None), (2, "", "en", "a", 0), (3, text, "en", "a", 5), (3, text, "en", "a", 5), (4, text, None, "b", None), (None, None, None, None, None)]
+    seen = stages(spark, tmp_path, rows, [(1, 1, 0), (None, 1, 1), (3, None, None)])
+    assert len(seen["toxicity"]) == 7
+    # rows without an id stay, repeated rows of the first id stay together
+    assert sorted((r["doc_id"] for r in seen["near_duplicates"]), key=str) == sorted([None, 1, 2, 3, 3, None], key=str)
+    assert all(r["text"] is None for r in seen["personal_data"] if r["doc_id"] == 1)
+    assert all(r["text"] for r in seen["mixing"]) and seen["mixing"]
+    assert len(seen["tokens"]) == len(seen["mixing"]) and all(r["n_tokens"] > 0 for r in seen["tokens"])
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    assert all(not rows for rows in stages(spark, tmp_path, [], []).values())
