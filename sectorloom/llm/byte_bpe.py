@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectorloom.llm.common import bounded_batches, lean, shared_dir, shuffle_partitions, text_column
+from sectorloom.llm.common import bounded_batches, lean, leaves, shared_dir, shuffle_partitions, text_column
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: A block ends at so many distinct words or so many characters.
@@ -230,8 +230,10 @@ def bpe_encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     bounded_batches(spark)
     parts, name = shuffle_partitions(spark), f"sectorloom_{uuid.uuid4().hex}"
     docs = text_column(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    leaves(spark, path, name)
     blocks = docs.mapInArrow(lean(_blocks(parts)), BLOCKS)
-    blocks.write.bucketBy(parts, "block").option("path", f"{shared_dir(spark).rstrip('/')}/{name}").option("compression", "zstd").saveAsTable(name)
+    blocks.write.bucketBy(parts, "block").option("path", path).option("compression", "zstd").saveAsTable(name)
     blocks = spark.table(name)
     words = blocks.where("bucket is not null").repartition(parts, "bucket").sortWithinPartitions("bucket")
     words = words.mapInArrow(lean(_encode_words(vocabulary)), BLOCKS).select("block", "payload")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import ctypes.util
 import gc
@@ -14,6 +16,8 @@ from functools import wraps
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +94,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Folders and catalog tables of this session that go when the driver ends; results may be read until then.
+_left: list[tuple[SparkSession, str, str | None]] = []
+
+
+def leaves(spark: SparkSession, path: str, table: str | None = None) -> None:
+    """Has the folder, and the catalog's table in it, removed when the driver ends."""
+    _left.append((spark, path, table))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def clean() -> None:
+    """Removes what is left, as far as the session still runs."""
+    while _left:
+        spark, path, table = _left.pop()
+        if SparkContext._active_spark_context is not spark.sparkContext:
+            continue
+        with contextlib.suppress(Py4JError, OSError):
+            if table:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
+            remove(spark, path)
+
+
 def planned_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of a table's size; that of its files for a scan."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -98,7 +129,7 @@ def planned_bytes(df: DataFrame) -> int:
 class Scratch:
     """Tables written in the shared folder, which cut lineage and outlive a lost executor.
 
-    ``drop`` removes them once a later table has taken over what they hold. ``source``: the table that they
+    ``drop`` removes them once a later table has taken over what they hold; the rest go when the driver ends. ``source``: the table that they
     derive from; one kept as ``small`` has no more files than that has pieces of FILE_BYTES, or twice as many as there are cores.
     """
 
@@ -107,6 +138,7 @@ class Scratch:
         self.files = None if source is None else min(MOST_FILES, max(2 * spark.sparkContext.defaultParallelism, planned_bytes(source) // FILE_BYTES))
         self.root = f"{shared_dir(spark).rstrip('/')}/sectorloom-{uuid.uuid4().hex}"
         self.kept: dict[int, tuple[DataFrame, str]] = {}
+        leaves(spark, self.root)
 
     def keep(self, df: DataFrame, small: bool = False) -> DataFrame:
         """The table as written. What makes a small one may not number its rows by partition: several meet in a task."""
@@ -120,11 +152,8 @@ class Scratch:
         return [t for t, _ in self.kept.values()]
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(self.kept.pop(id(t))[1])
-            path.getFileSystem(conf).delete(path, True)
+            remove(self.spark, self.kept.pop(id(t))[1])
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

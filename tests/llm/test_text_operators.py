@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sectorloom.llm import byte_bpe, embedding_dedup, html_text, jaccard_join, licenses, mixing, pii, quality_rules, sharding, toxicity
+from sectorloom.llm import byte_bpe, common, embedding_dedup, html_text, jaccard_join, licenses, mixing, pii, quality_rules, sharding, toxicity
 from sectorloom.llm.common import Scratch, word_hashes
 from sectorloom.llm.components import components
 
@@ -115,6 +115,19 @@ def test_repeated_tokens_are_counted():
     assert got == [(1, 2), (2, 3), (None, 7)]
 
 
+def test_what_is_left_goes(spark, monkeypatch):
+    left = []
+    monkeypatch.setattr(common, "_left", left)
+    kept = Scratch(spark).keep(spark.range(5))
+    encoded = byte_bpe.bpe_encode(make(spark, [(1, "one two", "en", "a", 0)]))
+    assert kept.count() == 5 and encoded.first()["doc_id"] == 1 and len(left) == 2
+    tables = {t for _, _, t in left if t}
+    common.clean()
+    assert not left and not tables & {t.name for t in spark.catalog.listTables()}
+    with pytest.raises(Exception):
+        kept.count()
+
+
 def test_word_hashes():
     def morse(n, bit):
         return "".join("ab"[(bin(i).count("1") + bit) % 2] for i in range(n))
@@ -586,3 +599,40 @@ def test_pairs_at_the_threshold_share_a_cell(size):
     b = 0.95 * a + math.sqrt(1 - 0.95**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
     x, y = embedding_dedup.cells(a), embedding_dedup.cells(b)
     assert (x[:, :, None] == y[:, None, :]).any(axis=(1, 2)).mean() > 0.99
+
+
+APPLY = {
+    "html": lambda d: html_text.extract_text(d.withColumnRenamed("text", "html")),
+    "licenses": licenses.scan_licenses,
+    "mixing": mixing.mix_sources,
+    "pii": pii.find_pii,
+    "quality": quality_rules.quality,
+    "redact": pii.redact,
+}
+
+
+@pytest.mark.parametrize("name", sorted(APPLY))
+def test_no_rows_and_repeated_rows(spark, name):
+    assert not APPLY[name](make(spark, [])).collect()
+    rows = [(None, "a b", "en", "a", 3), (1, "Mail x@y.org", None, None, None), (1, "Mail x@y.org", None, None, None), (None, None, None, None, None)]
+    got = [tuple(r) for r in APPLY[name](make(spark, rows)).collect()]
+    assert len(got) == 4 and max(collections.Counter(map(str, got)).values()) == 2
+
+
+def test_licence_probabilities_are_calibrated():
+    """On fresh corrupted templates among prose of words that no template knows: a prediction's probability is about how often it is right."""
+    model, rng = licenses.train(), np.random.default_rng(99)
+    prose = licenses._of_text(" ".join(f"w{i}x" for i in range(400)) + " the of and license software notice under terms this")
+    right, said = [], []
+    for family, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            words = licenses._of_text(t)
+            for share in (0.0, 0.05, 0.1):
+                kept = words[rng.random(len(words)) >= share]
+                found, p = model.classify(np.concatenate([rng.choice(prose, 20), kept, rng.choice(prose, 20)]))
+                if found != licenses.UNKNOWN:
+                    right.append(found == family)
+                    said.append(p)
+    unknown = [model.classify(rng.choice(prose, rng.integers(2, 90)))[0] == licenses.UNKNOWN for _ in range(300)]
+    assert len(right) > 80 and np.mean(right) > 0.97 and all(unknown)
+    assert abs(np.mean(right) - np.mean(said)) < 0.1
