@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from sectorloom.kernels.build import Options
 from sectorloom.operators import catalog, chunks, ranges
 from sectorloom.plans.queries import _LINES, _SQL_CHUNKS, CHUNK, _chunks, _lines, _payloads, _table, query
 from sectorloom.sources.ewf import read_ewf
-from sectorloom.sources.sink import copy_ewf, folder, resume_ewf, write_ewf
+from sectorloom.sources.sink import copy_ewf, folder, resume_ewf, write_ewf, write_ewf_sets
 
 # ---------------------------------------------------------------- chunks: codecs, damage, positions
 
@@ -289,7 +291,8 @@ def _image(spark, sf_dir):
     """All texts' chunks, padded to a sector, as the chunks of one medium; and their number."""
     docs = _payloads(spark, sf_dir).where(F.octet_length("payload") > 0)
     n = S.chunk_count(F.octet_length("payload").cast("long"), CHUNK)
-    begins = docs.select("doc_id", (F.sum(n).over(Window.orderBy("doc_id")) - n).alias("begin"))  # one row for each document
+    counts = docs.select("doc_id", n.alias("n"))  # before the window, so that no text passes through it
+    begins = counts.select("doc_id", (F.sum("n").over(Window.orderBy("doc_id")) - F.col("n")).alias("begin"))  # one row for each document
     rows = _chunks(spark, sf_dir).join(begins, "doc_id").select((F.col("begin") + F.col("chunk_index")).alias("chunk_index"), F.unhex(F.rpad(F.hex("data"), 2 * CHUNK, "0")).alias("data"))
     return rows, docs.agg(F.sum(n)).first()[0] or 0
 
@@ -318,7 +321,11 @@ for _format in ("E01", "L01", "S01", "Ex01", "Lx01"):
 
 @query(_SQL_IMAGE)
 def ewf_split_multi(spark, sf_dir):
-    return _digests(spark, _written(spark, sf_dir, "E01", segment_size=60_000))
+    """In segments of 60,000 bytes, and so in as many sets as their names need; chunks are numbered through."""
+    rows, n = _image(spark, sf_dir)
+    sets = write_ewf_sets(rows, f"{folder(spark)}/image", n * CHUNK, Options("E01", 1, CHUNK), 60_000)
+    parts = [_digests(spark, paths[0]).withColumn("chunk_index", F.col("chunk_index") + first) for first, paths in sets]
+    return reduce(lambda a, b: a.union(b), parts)
 
 
 @query(_SQL_IMAGE)

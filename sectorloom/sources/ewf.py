@@ -1,7 +1,7 @@
 """A data source of container images: ``spark.read.format("ewf").option("table", ...).load(path)``.
 
 Planning walks sections and metadata only; a chunk table is known by its place, and its entries are read
-in slices of ``SLICE`` chunks, one to a task, each fetching its own bytes. Tables: images, segments,
+in slices of ``SLICE`` chunks, each fetching its own bytes; a task reads one, or several small ones. Tables: images, segments,
 sections, table_ranges, header_values, hash_values, acquisition_errors, checksum_errors, sessions, tracks,
 memory_extents, the catalog's, aux_entries, encoded_chunks, chunks.
 """
@@ -12,7 +12,7 @@ import glob
 import os
 import re
 import urllib.parse
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +27,8 @@ from sectorloom.kernels.codec import Malformed, decode
 from sectorloom.operators.chunks import stream_hashes
 
 SLICE = 1024
+#: Bytes of chunks that a task reads at least, if there are as many.
+READ_BYTES = 8 << 20
 
 _ENTRY = {"identifier": "decimal(20,0)", "type": "string", "name": "string", "short_name": "string", "size": "bigint", "logical_offset": "bigint", "physical_offset": "bigint", "duplicate_data_offset": "bigint", "source_identifier": "int", "subject_identifier": "bigint", "permission_group_index": "int", "record_type": "bigint", "flags": "bigint", "guid": "string", "creation_time": "bigint", "modification_time": "bigint", "access_time": "bigint", "entry_modification_time": "bigint", "deletion_time": "bigint", "md5": "string", "sha1": "string"}
 _SOURCE = {"identifier": "int", "name": "string", "evidence_number": "string", "location": "string", "device_guid": "string", "primary_device_guid": "string", "drive_type": "string", "manufacturer": "string", "model": "string", "serial_number": "string", "domain": "string", "ip_address": "string", "mac_address": "string", "size": "bigint", "logical_offset": "bigint", "physical_offset": "bigint", "acquisition_time": "bigint", "md5": "string", "sha1": "string"}
@@ -123,7 +125,9 @@ class Image:
                     raise Malformed(f"{name} does not match")
             chunk += sum(r.count for r in s.ranges)
             self.segments.append(s)
-        self.profile = L.set_profile([(L.hinted_profile(p, s.format, s.smart), s.profile) for p, s in zip(self.paths, self.segments, strict=True)])
+        # behind the last name of the first letter, later letters say nothing of the profile
+        named = [p if i < L.OWN_LETTER else self.paths[0] for i, p in enumerate(self.paths)]
+        self.profile = L.set_profile([(L.hinted_profile(p, s.format, s.smart), s.profile) for p, s in zip(named, self.segments, strict=True)])
         head = self.segments[0]
         self.chunk_size = head.chunk_size or 32_768
         self.chunks = max((r.first_chunk + r.count for s in self.segments for r in s.ranges), default=0)
@@ -174,6 +178,27 @@ def slices(image: Image) -> Iterator[Slice]:
                 yield Slice(path=path, image_id=image.image_id, held=r, begin=i, end=min(i + SLICE, r.count), version=s.version, smart=s.smart, method=s.method, chunk_size=image.chunk_size, size=image.size)
 
 
+class Slices(InputPartition):
+    """What one task reads."""
+
+    def __init__(self, parts: list[Slice]):
+        self.parts = parts
+
+
+def tasks(parts: Iterable[Slice]) -> Iterator[Slices]:
+    """Slices put together up to READ_BYTES, so that small segments and small chunks don't make a task each."""
+    held, chunks = [], 0
+    for part in parts:
+        n = part.end - part.begin
+        if held and (chunks + n) * part.chunk_size > READ_BYTES:
+            yield Slices(held)
+            held, chunks = [], 0
+        held.append(part)
+        chunks += n
+    if held:
+        yield Slices(held)
+
+
 class EwfReader(DataSourceReader):
     def __init__(self, options: dict, table: str):
         self.path, self.table = options.get("path", ""), table
@@ -184,8 +209,8 @@ class EwfReader(DataSourceReader):
         out: list[InputPartition] = []
         for paths in [self.segments.split("\n")] if self.segments else discover(self.path):
             image = Image(opened(paths), os.path.splitext(os.path.basename(paths[0]))[0])
-            out += slices(image) if self.table in ("chunks", "encoded_chunks", "checksum_errors") else [Slice(rows=list(self._metadata(image)))]
-        return out or [Slice(rows=[])]
+            out += tasks(slices(image)) if self.table in ("chunks", "encoded_chunks", "checksum_errors") else [Slices([Slice(rows=list(self._metadata(image)))])]
+        return out or [Slices([])]
 
     def _metadata(self, m: Image) -> Iterator[tuple]:
         head, k = m.segments[0], m.image_id
@@ -238,17 +263,23 @@ class EwfReader(DataSourceReader):
         else:
             yield from ((k, i, j, *of(p, _PERMISSION)) for i, r in enumerate(c.groups) for j, p in enumerate(r["permissions"]))
 
-    def read(self, partition: Slice) -> Iterator[tuple]:
-        if partition.rows is not None:
-            yield from partition.rows
-            return
-        with open(partition.path, "rb") as f:
+    def read(self, partition: Slices) -> Iterator[tuple]:
+        for part in partition.parts:
+            if part.rows is not None:
+                yield from part.rows
+            else:
+                yield from file_rows(part, part.path, self.table, self.zero_on_error)
+
+
+def file_rows(part: Slice, path: str, table: str, zero_on_error: bool) -> Iterator[tuple]:
+    """``chunk_rows`` of a slice whose segment lies at a path."""
+    with open(path, "rb") as f:
 
-            def read(at: int, n: int) -> bytes:
-                f.seek(at)
-                return f.read(n)
+        def read(at: int, n: int) -> bytes:
+            f.seek(at)
+            return f.read(n)
 
-            yield from chunk_rows(partition, read, self.table, self.zero_on_error)
+        yield from chunk_rows(part, read, table, zero_on_error)
 
 
 def chunk_rows(part: Slice, read: L.Read, table: str, zero_on_error: bool) -> Iterator[tuple]:

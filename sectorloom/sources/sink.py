@@ -2,11 +2,13 @@
 
 The packing looks at (chunk, stored size) alone; payloads move once, to their segment's task, which
 passes them on chunk by chunk. Files go to a path that all executors share, under temporary names until
-every segment is whole, so that a set may be written anew from its own chunks.
+every segment is whole, so that a set may be written anew from its own chunks. The hashes need the chunks
+in order: one task reads a set's segments one after the other and puts the hashes into the last.
 """
 
 from __future__ import annotations
 
+import hashlib
 import io
 import itertools
 import os
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import replace
 from decimal import Decimal
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +27,12 @@ from pyspark.sql import functions as F
 from sectorloom.kernels import build
 from sectorloom.kernels.codec import Malformed, decode, encode
 from sectorloom.operators.chunks import overlay, pack, stream_hashes
-from sectorloom.sources.ewf import read_ewf
+from sectorloom.sources.ewf import Image, _reader, discover, file_rows, opened, read_ewf, slices
 
+#: Stored bytes of the segments that a task writes, if they are smaller; tasks at least, if there are as many segments.
+WRITE_BYTES, WRITE_TASKS = 32 << 20, 64
+#: Stand for the hashes until the segments are written.
+UNKNOWN = ("0" * 32, "0" * 40)
 ENCODED = "chunk_index long, encoding string, stored binary, pattern binary"
 
 
@@ -93,49 +100,102 @@ def write_ewf(chunks: DataFrame, stem: str, size: int, options: build.Options |
     writing its chunks and more again. ``mirror``: the stem of a second, equal copy elsewhere. Hashes of the
     padded stream are stored. ``stored``: the chunks as they are to be stored, if they are already encoded.
     """
-    options = options or build.Options()
+    ((_, paths),) = _write(chunks, stem, size, options or build.Options(), segment_size, terminal, mirror, stored, False)
+    return paths
+
+
+def write_ewf_sets(chunks: DataFrame, stem: str, size: int, options: build.Options | None = None, segment_size: int | None = None) -> list[tuple[int, list[str]]]:
+    """As write_ewf, also where the stream makes more segments than a set has names for: its parts go to sets ``stem``, ``stem``-2 and so on.
+
+    Returns (first chunk, paths) of each set. A set is whole, counts its chunks from 0 and has its own part's hashes.
+    """
+    return _write(chunks, stem, size, options or build.Options(), segment_size, True, None, None, True)
+
+
+def _set_stem(stem: str, part: int) -> str:
+    return f"{stem}-{part + 1}" if part else stem
+
+
+def _write(chunks: DataFrame, stem: str, size: int, options: build.Options, segment_size: int | None, terminal: bool, mirror: str | None, stored: DataFrame | None, sets: bool) -> list[tuple[int, list[str]]]:
     if mirror is not None and os.path.normpath(os.path.abspath(mirror)) == os.path.normpath(os.path.abspath(stem)):
         raise ValueError("the copy must lie elsewhere")
     options.check_ranges(-(-size // options.bytes_per_sector))
     token = uuid.uuid4().hex
-    segments, rows, held = _segments(chunks, stored, size, options, segment_size, terminal, lambda *a: _to_files(stem, mirror, token, *a))
-    written = rows.select("segment", "path").collect()
-    held.unpersist()
-    if not segments:
-        raise ValueError("no chunks were given")
-    for number in range(1, segments + 1):
-        for at in filter(None, (stem, mirror)):
-            path = build.segment_name(at, options.format, number)
-            os.replace(f"{path}.{token}", path)
-    for at in filter(None, (stem, mirror)):
-        remove_stale(at, options.format, segments)
-    return [r["path"] for r in sorted(written, key=lambda r: r["segment"])]
+    held, firsts, n_bytes = _packed(chunks, stored, size, options, segment_size)
+    try:
+        if not len(firsts):
+            raise ValueError("no chunks were given")
+        parts = -(-len(firsts) // build.most_segments(options.format))
+        if parts > 1 and not sets:
+            raise ValueError(f"too many segments: {len(firsts)}, and {options.format} names {build.most_segments(options.format)}")
+        if parts > 1 and (options.errors or options.sessions or options.tracks or options.catalog):
+            raise ValueError("ranges and a catalog are of one set")
+        each = -(-len(firsts) // parts)
+        _segments(held, firsts, n_bytes, each, size, options, terminal, UNKNOWN if terminal else None, lambda *a: _to_files(stem, mirror, token, *a)).select("segment").collect()
+    finally:
+        held.unpersist()
+    begins = range(0, len(firsts), each)
+    counts = [min(each, len(firsts) - b) for b in begins]
+    stems = list(filter(None, (stem, mirror)))
+    if terminal:
+        chunks.sparkSession.range(0, len(counts), 1, len(counts)).mapInArrow(_hashed(stems, token, options, counts), "part long").collect()
+    out = []
+    for part, (begin, count) in enumerate(zip(begins, counts, strict=True)):
+        for at in stems:
+            paths = [build.segment_name(_set_stem(at, part), options.format, i + 1) for i in range(count)]
+            for path in paths:
+                os.replace(f"{path}.{token}", path)
+            if at == stem:
+                out.append((int(firsts[begin]), paths))
+            remove_stale(_set_stem(at, part), options.format, count)
+    return out
 
 
 def segments_ewf(chunks: DataFrame, size: int, options: build.Options | None = None, segment_size: int | None = None, stem: str = "image") -> DataFrame:
     """(segment, path, content): the segments as rows instead of files, for a sink of the caller's own; each must fit a value."""
     options = options or build.Options()
     options.check_ranges(-(-size // options.bytes_per_sector))
-    return _segments(chunks, None, size, options, segment_size, True, lambda *a: _to_rows(stem, *a))[1]
+    held, firsts, n_bytes = _packed(chunks, None, size, options, segment_size)
+    if len(firsts) > build.most_segments(options.format):
+        held.unpersist()
+        raise ValueError(f"too many segments: {len(firsts)}, and {options.format} names {build.most_segments(options.format)}")
+    hashes = _padded_hashes(chunks, options, size, -(-size // options.bytes_per_sector) * options.bytes_per_sector)
+    return _segments(held, firsts, n_bytes, len(firsts), size, options, True, hashes, lambda *a: _to_rows(stem, *a))
 
 
-def _segments(chunks: DataFrame, stored: DataFrame | None, size: int, options: build.Options, segment_size: int | None, terminal: bool, sink) -> tuple[int, DataFrame, DataFrame]:
+def _packed(chunks: DataFrame, stored: DataFrame | None, size: int, options: build.Options, segment_size: int | None) -> tuple[DataFrame, np.ndarray, int]:
+    """The stored chunks, kept; the first chunk of each segment; the stored bytes."""
     padded = -(-size // options.bytes_per_sector) * options.bytes_per_sector
     n = -(-size // options.chunk_size)
     stored = (encode_chunks(chunks, options, size) if stored is None else stored).persist()
-    found = stored.agg(F.count("*").alias("n"), F.count_distinct("chunk_index").alias("d"), F.min("chunk_index").alias("lo"), F.max("chunk_index").alias("hi")).first()
-    if (found["n"], found["d"]) != (n, n) or n and (found["lo"], found["hi"]) != (0, n - 1):
+    try:
+        found = stored.agg(F.count("*").alias("n"), F.count_distinct("chunk_index").alias("d"), F.min("chunk_index").alias("lo"), F.max("chunk_index").alias("hi"), F.sum(F.octet_length("stored")).alias("bytes")).first()
+        if (found["n"], found["d"]) != (n, n) or n and (found["lo"], found["hi"]) != (0, n - 1):
+            raise ValueError(f"{found['n']} chunks can't hold {size} bytes")
+        firsts = [0] * (n > 0)
+        if segment_size:
+            sizes = stored.select(F.lit(0).alias("k"), "chunk_index", F.octet_length("stored").cast("long").alias("size"))
+            group = (1 << 62, 1 << 62) if options.second else (build.GROUP_ENTRIES, build.GROUP_BYTES)
+            packed = pack(sizes, "k", ["chunk_index"], "size", segment_size, build.segment_cost(options, padded, n), group)
+            firsts = sorted(r[0] for r in packed.groupBy("segment").agg(F.min("chunk_index").alias("first")).select("first").collect())
+    except Exception:
         stored.unpersist()
-        raise ValueError(f"{found['n']} chunks can't hold {size} bytes")
-    sizes = stored.select(F.lit(0).alias("k"), "chunk_index", F.octet_length("stored").cast("long").alias("size"))
-    group = (1 << 62, 1 << 62) if options.second else (build.GROUP_ENTRIES, build.GROUP_BYTES)
-    packed = pack(sizes, "k", ["chunk_index"], "size", segment_size, build.segment_cost(options, padded, n), group) if segment_size else sizes.withColumn("segment", F.lit(1).cast("long"))
-    bounds = packed.groupBy("segment").agg(F.min("chunk_index").alias("first"))
-    segments = bounds.agg(F.max("segment")).first()[0] or 0
-    hashes = _padded_hashes(chunks, options, size, padded) if terminal else None
-    rows = stored.join(packed.select("chunk_index", "segment"), "chunk_index").join(F.broadcast(bounds), "segment")
-    rows = rows.select("segment", "first", "chunk_index", "encoding", "stored", "pattern").repartition(max(1, segments), "segment").sortWithinPartitions("segment", "chunk_index")
-    return segments, rows.mapInArrow(_writer(options, n, padded, segments, terminal, hashes, sink), "segment long, path string, content binary"), stored
+        raise
+    return stored, np.array(firsts, dtype=np.int64), found["bytes"] or 0
+
+
+def _segments(stored: DataFrame, firsts: np.ndarray, n_bytes: int, each: int, size: int, options: build.Options, terminal: bool, hashes: tuple[str, str] | None, sink) -> DataFrame:
+    """(segment, path, content) of the segments that begin at ``firsts``, ``each`` of them to a set; a task writes neighbours."""
+    tasks = max(1, min(len(firsts), max(WRITE_TASKS, n_bytes // WRITE_BYTES)))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            segment = np.searchsorted(firsts, b.column(0).to_numpy(), side="right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(segment), pa.array(firsts[segment]), pa.array((segment * tasks // len(firsts)).astype(np.int32)), *b.columns], names=["segment", "first", "task", *b.schema.names])
+
+    rows = stored.mapInArrow(place, f"segment long, first long, task int, {ENCODED}").repartitionById(tasks, "task").sortWithinPartitions("chunk_index")
+    rows = rows.select("segment", "first", "chunk_index", "encoding", "stored", "pattern")
+    return rows.mapInArrow(_writer(options, firsts[::each].tolist(), each, len(firsts), size, terminal, hashes, sink), "segment long, path string, content binary")
 
 
 def copy_ewf(spark: SparkSession, path: str | list[str], stem: str, segment_size: int | None = None, mirror: str | None = None, **changes) -> list[str]:
@@ -163,8 +223,6 @@ def copy_ewf(spark: SparkSession, path: str | list[str], stem: str, segment_size
 
 def read_catalog(path: str | list[str]):
     """The catalog of an image as the builder takes it, or none."""
-    from sectorloom.sources.ewf import Image, discover, opened
-
     return Image(opened(path if isinstance(path, list) else discover(path)[0]), "").catalog
 
 
@@ -186,7 +244,37 @@ def _padded_hashes(chunks: DataFrame, options: build.Options, size: int, padded:
     return row["md5"], row["sha1"]
 
 
-def _writer(options: build.Options, chunk_count: int, size: int, segments: int, terminal: bool, hashes: tuple[str, str] | None, sink):
+def _hashed(stems: list[str], token: str, options: build.Options, counts: list[int]):
+    """Hashes a set's temporary files in order, and puts the hashes where the last one and its copy hold their place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in b.column(0).to_pylist():
+                paths = [build.segment_name(_set_stem(stems[0], part), options.format, i + 1) for i in range(counts[part])]
+                image = Image([(p, _reader(f"{p}.{token}"), os.path.getsize(f"{p}.{token}")) for p in paths], "")
+                md5, sha1 = hashlib.md5(), hashlib.sha1()
+                for x in slices(image):
+                    for row in file_rows(x, f"{x.path}.{token}", "chunks", False):
+                        md5.update(row[-1])
+                        sha1.update(row[-1])
+                hashes = (md5.hexdigest(), sha1.hexdigest())
+                known = dict(build.tail2(options, hashes) if options.second else build.tail1(options, hashes))
+                for stem in stems:
+                    with open(f"{build.segment_name(_set_stem(stem, part), options.format, counts[part])}.{token}", "r+b") as f:
+                        for x in image.segments[-1].sections:
+                            if x.kind in ("digest", "md5_hash", "sha1_hash"):
+                                f.seek(x.data_offset)
+                                f.write(known[x.kind])
+            yield b
+
+    return run
+
+
+def _writer(options: build.Options, begins: list[int], each: int, segments: int, size: int, terminal: bool, hashes: tuple[str, str] | None, sink):
+    """``begins``: the first chunk of each set, which has ``each`` segments, the last one fewer."""
+    padded = -(-size // options.bytes_per_sector) * options.bytes_per_sector
+    ends = [*begins[1:], -(-size // options.chunk_size)]
+
     def chunks_of(rows: Iterator[tuple], segment: int, held: list) -> Iterator[build.Stored]:
         for r in rows:
             if r[0] != segment:
@@ -200,29 +288,32 @@ def _writer(options: build.Options, chunk_count: int, size: int, segments: int,
         while head is not None:
             segment, first, held = head[0], head[1], []
             own = chunks_of(itertools.chain([head], rows), segment, held)
-            last = segment == segments and terminal
+            part, number = divmod(segment, each)
+            last = segment + 1 in (segments, (part + 1) * each) and terminal
+            count, begin = ends[part] - begins[part], begins[part]
+            own_size = min(padded - begin * options.chunk_size, count * options.chunk_size)
 
-            def put(f, segment=segment, first=first, own=own, last=last) -> None:
+            def put(f, number=number + 1, first=first - begin, own=own, count=count, own_size=own_size, last=last) -> None:
                 if options.second:
-                    build.second_generation(options, f, segment, own, first, chunk_count, size, last, hashes)
+                    build.second_generation(options, f, number, own, first, count, own_size, last, hashes)
                 else:
-                    build.first_generation(options, f, segment, own, chunk_count, size, last, hashes)
+                    build.first_generation(options, f, number, own, count, own_size, last, hashes)
 
-            path, content = sink(options, segment, put)
-            yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int64()), pa.array([path]), pa.array([content], pa.binary())], names=["segment", "path", "content"])
+            path, content = sink(options, part, number + 1, put)
+            yield pa.RecordBatch.from_arrays([pa.array([segment + 1], pa.int64()), pa.array([path]), pa.array([content], pa.binary())], names=["segment", "path", "content"])
             head = held[0] if held else None
 
     return run
 
 
-def _to_files(stem: str, mirror: str | None, token: str, options: build.Options, segment: int, put) -> tuple[str, None]:
+def _to_files(stem: str, mirror: str | None, token: str, options: build.Options, part: int, segment: int, put) -> tuple[str, None]:
     """A segment under a temporary name, and its copy; an attempt's file replaces an earlier attempt's."""
-    path = build.segment_name(stem, options.format, segment)
+    path = build.segment_name(_set_stem(stem, part), options.format, segment)
     own = f"{path}.{uuid.uuid4().hex}"
     with open(own, "w+b") as f:
         put(f)
     if mirror:
-        copy = f"{build.segment_name(mirror, options.format, segment)}.{token}"
+        copy = f"{build.segment_name(_set_stem(mirror, part), options.format, segment)}.{token}"
         with open(own, "rb") as a, open(f"{copy}.part", "wb") as b:
             while piece := a.read(1 << 20):
                 b.write(piece)
@@ -231,7 +322,7 @@ def _to_files(stem: str, mirror: str | None, token: str, options: build.Options,
     return path, None
 
 
-def _to_rows(stem: str, options: build.Options, segment: int, put) -> tuple[str, bytes]:
+def _to_rows(stem: str, options: build.Options, part: int, segment: int, put) -> tuple[str, bytes]:
     f = io.BytesIO()
     put(f)
     return build.segment_name(stem, options.format, segment), f.getvalue()
@@ -239,6 +330,6 @@ def _to_rows(stem: str, options: build.Options, segment: int, put) -> tuple[str,
 
 def remove_stale(stem: str, format: str, segments: int) -> None:
     """Deletes the segments that follow the last one, up to the first that is missing."""
-    while os.path.exists(path := build.segment_name(stem, format, segments + 1)):
+    while segments < build.most_segments(format) and os.path.exists(path := build.segment_name(stem, format, segments + 1)):
         os.remove(path)
         segments += 1

@@ -12,6 +12,7 @@ from sectorloom.kernels import build, layout
 from sectorloom.kernels.codec import Malformed
 from sectorloom.sources import ewf
 from sectorloom.sources.ewf import probe_sets, raw_export, read_ewf, read_ewf_bytes, verify
+from sectorloom.sources import sink
 from sectorloom.sources.sink import copy_ewf, resume_ewf, segments_ewf, write_ewf
 
 CHUNK = 8 * 512
@@ -241,3 +242,47 @@ def test_planning_holds_no_chunk_list(tmp_path):
     parts = list(ewf.slices(image))
     assert image.chunks == n and len(parts) == -(-n // ewf.SLICE)
     assert all(p.held is parts[0].held for p in parts)
+
+
+def numbered(spark, n: int):
+    return spark.range(n).selectExpr("id AS chunk_index", "unhex(rpad(hex(id), 1024, '7')) AS data")
+
+
+@pytest.mark.parametrize(("format", "profile"), [("E01", "encase2"), ("L01", "logical_encase5")])
+def test_segments_named_by_later_letters(spark, tmp_path, format, profile):
+    """A segment for each chunk, past the seventh letter: .L.. of an E01 isn't logical, .S.. of an L01 isn't SMART."""
+    n = 99 + 676 * 7 + 9
+    paths = write_ewf(numbered(spark, n), str(tmp_path / "a"), n * 512, build.Options(format, 1, 512), segment_size=1)
+    assert len(paths) == n and paths[-1].endswith("LAI" if format == "E01" else "SAI")
+    image = read_ewf(spark, paths[0], "images").first()
+    assert (image["segment_count"], image["chunk_count"], image["profile"]) == (n, n, profile)
+    (found,) = verify(spark, paths[0]).collect()
+    assert found["size"] == n * 512 and found["md5_match"] and found["sha1_match"]
+
+
+def test_more_segments_than_names(spark, tmp_path):
+    """A segment for each chunk: a set ends where its names do, and the rest goes to another."""
+    n = 99 + 676 * 3 + 41
+    rows = numbered(spark, n)
+    data = b"".join(bytes(r["data"]) for r in rows.orderBy("chunk_index").collect())
+    o = build.Options("Ex01", 1, 512)
+    (tmp_path / "one").mkdir()
+    with pytest.raises(ValueError, match="too many segments"):
+        write_ewf(rows, str(tmp_path / "one" / "a"), len(data), o, segment_size=1)
+    assert not os.listdir(tmp_path / "one")
+    sets = sink.write_ewf_sets(rows, str(tmp_path / "a"), len(data), o, 1)
+    assert [first for first, _ in sets] == [0, n // 2] and sum(len(paths) for _, paths in sets) == n
+    for (first, paths), end in zip(sets, (n // 2, n), strict=True):
+        own = data[first * 512 : end * 512]
+        assert media(spark, paths[0]) == own
+        assert read_ewf(spark, paths[0], "images").first()["segment_count"] == end - first
+        (found,) = verify(spark, paths[0]).collect()
+        assert found["md5"] == hashlib.md5(own).hexdigest() and found["md5_match"] and found["sha1_match"]
+    assert len(os.listdir(tmp_path)) == n + 1
+
+
+def test_a_task_reads_many_small_segments(spark, tmp_path):
+    data = random.Random(4).randbytes(60 * CHUNK)
+    paths = write_ewf(chunk_rows(spark, data), str(tmp_path / "a"), len(data), build.Options("E01", 8, 512), segment_size=10_000)
+    read = read_ewf(spark, paths[0])
+    assert len(paths) == 60 // 2 and read.rdd.getNumPartitions() == 1 and media(spark, paths[0]) == data
